@@ -25,6 +25,13 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number", "position")
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.near_duplicates import classes
+
+    out = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.decontamination import decontaminate
 
