@@ -16,6 +16,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.warc import archive_round_trip
+
+    out = archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "offset", "length")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.tokens import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op6_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
 def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
