@@ -35,6 +35,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op5_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.toxicity import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def op6_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.packing import pack
 
@@ -57,6 +64,12 @@ def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", "copy_id", "n_links", "n_text_links")
 
 
+def op8_text_to_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.decontamination import decontaminate
 
@@ -64,6 +77,13 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestrata.llm.quality_classifier import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 def queries() -> dict:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
