@@ -241,11 +241,12 @@ def oracle_sql() -> dict:
         "upsert_overlay": "SELECT doc_id AS id, CAST(length(text) + CASE WHEN doc_id % 6 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS INT) AS size FROM documents",
         "json_depth_keys": "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS events FROM events GROUP BY 1",
         "kind_counts": f"{view} SELECT 'chunk' AS kind, count(*) AS n FROM chunk UNION ALL SELECT 'file', count(DISTINCT path) FROM chunk",
-        "split_oversized": SPLIT_SQL,
         "route_files": ROUTE_SQL,
     }
 
 
-#: One step per line: lines fit while their lengths and newlines stay within the budget.
-SPLIT_SQL = ""
-ROUTE_SQL = ""
+ROUTE_SQL = """WITH f AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'fixtures/' ELSE 'src/' END || 'f' || doc_id ||
+ (['.py', '.TSX', '.json', '.md', '.txt', '-lock.json', '.kt'])[CAST(doc_id % 7 + 1 AS INT)] AS path FROM documents),
+ r(ext, language, chunking_mode) AS (VALUES ('py', 'python', 'ast'), ('tsx', 'typescript', 'ast'), ('json', 'json', 'section'), ('md', 'markdown', 'section'), ('kt', 'kotlin', 'ast'))
+ SELECT path, language, chunking_mode FROM f JOIN r ON lower(regexp_extract(path, '[.]([^.]*)$', 1)) = ext
+ WHERE NOT (ext = 'json' AND (path LIKE 'fixtures/%' OR path LIKE '%-lock.json'))"""
