@@ -51,6 +51,20 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None where there is none."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(hadoop_path):
+        return None
+    stream = system.open(hadoop_path)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
