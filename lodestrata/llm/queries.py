@@ -26,7 +26,7 @@ def op2_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestrata.llm.warc import archive_round_trip
 
     out = archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "offset", "length")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
