@@ -132,11 +132,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", limits: Lin
     removed = removed_lines(docs, text, host, limits)
     left = F.col("line_words") - F.col("removed_words")
     depleted = F.coalesce((left < limits.min_words_left) | (left * limits.keep_one_in < F.col("line_words")), F.lit(False))
-    measured = base_metrics(_keyed(docs, text, host), text)
+    # The row id keeps a later filter above the metrics: pushed below, their expressions would be copied into it many times over.
+    measured = base_metrics(_keyed(docs, text, host), text).withColumn("__row", F.monotonically_increasing_id())
     return (
         measured.join(removed, ["__host", "__text_hash"], "left")
         .withColumn("depleted", depleted)
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+        .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted") & (F.col("__row") >= 0))
         .select(*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                 F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), "removed_hashes", "depleted", "kept")
     )
