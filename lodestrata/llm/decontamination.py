@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.columns import alnum_words, pairs, text_key, with_grams
+from lodestrata.llm.columns import alnum_words, text_key, with_grams
 from lodestrata.storage import materialise
 
 WINDOW = 13
