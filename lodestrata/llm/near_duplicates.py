@@ -298,11 +298,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **opti
     grouped = found.where("node is not null")
     stays = grouped.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("__first")).select("__first")
     again = grouped.groupBy(first).agg(F.count("*").alias("__times"))
-    stays = materialise(stays.join(again, "__first"), "stays")
-    wordless = found.where("node is null").select(first).distinct()
+    wordless = found.where("node is null").select(first).distinct().withColumn("__times", F.lit(1).cast("long"))
+    stays = materialise(stays.join(again, "__first").unionByName(wordless), "stays")
     marked = docs.withColumn("__first", F.struct(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key")))
-    kept = marked.join(stays, "__first")
-    once = kept.where("__times = 1").select(*columns)
-    repeated = kept.where("__times > 1").dropDuplicates(["__first"]).select(*columns)
-    alone = marked.join(wordless, "__first", "left_semi").select(*columns)
-    return once.unionByName(repeated).unionByName(alone)
+    once = marked.join(stays.where("__times = 1"), "__first", "left_semi").select(*columns)
+    several = stays.where("__times > 1")
+    if not several.head(1):  # no row repeats id and text: one pass over the texts is enough
+        return once
+    return once.unionByName(marked.join(several, "__first", "left_semi").dropDuplicates(["__first"]).select(*columns))
