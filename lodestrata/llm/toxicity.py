@@ -37,10 +37,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW_WORDS = 6
+WINDOW_WORDS = 4
 #: A run before each window: without it zstandard stores short windows uncompressed and their lengths say nothing.
 PAD = b"\0" * 96
-LEVEL, MIN_MATCH = 3, 4
+LEVEL, MIN_MATCH = 6, 3
 ORDINARY_BYTES = 16_384
 TOXIC_BYTES = 2_048
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -79,19 +79,30 @@ def _strings(text: str) -> set[bytes]:
     return out
 
 
-def _cover(toxic: list[set[bytes]], ordinary: list[set[bytes]], times: int = 3, most: int = 200) -> list[bytes]:
+def _frequent(texts: list[str], share: float) -> Counter:
+    """Byte strings in at least that share of the texts (lossy counting, so memory stays small)."""
+    tally: Counter = Counter()
+    for seen, text in enumerate(texts, 1):
+        tally.update(_strings(text))
+        if seen % 100 == 0:
+            tally = Counter({x: n for x, n in tally.items() if n >= seen * share / 2})
+    return Counter({x: n for x, n in tally.items() if n >= max(2, len(texts) * share)})
+
+
+def _cover(toxic: list[str], ordinary: list[str], times: int = 3, most: int = 200) -> list[bytes]:
     """Strings that cover each toxic text up to ``times`` times and are rare in ordinary ones."""
-    tally = Counter(x for s in toxic for x in s)
     least = max(2, len(toxic) // 200)
-    tally = Counter({x: n for x, n in tally.items() if n >= least})
-    plain = Counter(x for s in ordinary for x in s if x in tally)
+    tally = _frequent(toxic, 1 / 200)
+    plain: Counter = Counter()
+    for text in ordinary:
+        plain.update(_strings(text) & tally.keys())
     fit = {x for x, n in tally.items() if n / len(toxic) >= 20 * (plain[x] + 0.5) / (len(ordinary) + 1)}
     where: dict[bytes, list[int]] = {x: [] for x in fit}
-    for i, s in enumerate(toxic):
-        for x in s & fit:
+    for i, text in enumerate(toxic):
+        for x in _strings(text) & fit:
             where[x].append(i)
     need = np.full(len(toxic), times)
-    gain = {x: len(w) for x, w in where.items()}
+    gain = {x: len(w) for x, w in where.items() if w}
     chosen: list[bytes] = []
     while gain and len(chosen) < most:
         best = max(gain, key=lambda x: (gain[x], len(x), x))
@@ -172,7 +183,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3
 def _dictionaries(bad: list[str], good: list[str]) -> tuple[bytes, bytes]:
     """Ordinary and toxic dictionary content; the toxic one is empty if nothing sets toxic texts apart."""
     ordinary = _trained([w for t in good for w in windows(t)][:60_000], ORDINARY_BYTES)
-    chosen = _cover([_strings(t) for t in bad], [_strings(t) for t in good])
+    chosen = _cover(bad, good)
     if not chosen:
         return ordinary, b""
     content = b"".join(reversed(chosen))[-TOXIC_BYTES:]
@@ -228,16 +239,15 @@ def held_out(doc_id: Column) -> Column:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> list:
     """(text, label) of a bounded sample of labelled rows that are not held out."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    joined = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= longest).join(known.select("doc_id", F.col(label).alias("label")), "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    rows = []
-    for value in (0, 1):
-        rows += joined.where(F.col("label") == value).orderBy(*order).limit(per_class).select(F.coalesce("text", F.lit("")), "label").collect()
-    return rows
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
+    # Ids are chosen first, so texts are neither shuffled nor sorted: 2 * per_class ids are broadcast.
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("label = 0").orderBy(*order).limit(per_class).unionByName(known.where("label = 1").orderBy(*order).limit(per_class))
+    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    return short.join(F.broadcast(chosen), "doc_id").select("text", "label").collect()
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_500, longest: int = 65_536) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_000, longest: int = 65_536) -> Model:
     rows = training_rows(docs, labels, "toxic", per_class, longest)
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return fit([r[0] for r in rows], [int(r[1]) for r in rows], known)
