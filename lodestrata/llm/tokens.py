@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,9 @@ END_ID = 1
 ROW_GROUP_TOKENS = 1_000_000
 PAGE_BYTES = 64 * 1024
 #: Chunks that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Pieces of chunks (words without case and punctuation) that a worker remembers.
+REMEMBERED_PIECES = 400_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[!-/0-9:-@\\[-`{{-~{_LETTERS}]*")
@@ -70,22 +73,29 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.pieces: dict[str, bytes] = {}
         self.fresh()
 
     def fresh(self) -> None:
         self.clear()
-        self.pieces: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.first = np.empty(1 << 14, np.int64)
         self.count = np.empty(1 << 14, np.int64)
         self.used = 0
+        self.ramp = np.arange(1 << 14)
 
     def __missing__(self, chunk: bytes) -> int:
-        text = chunk.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            ids = [i for piece in _PIECE.findall(text.lower()) for i in self.piece(piece)]
+        if chunk.isalpha():  # ASCII letters only: one piece
+            known = self.piece(chunk.decode().lower())
+        elif chunk[:-1].isalpha() and chunk[-1:] in (b".", b","):
+            known = self.piece(chunk[:-1].decode().lower()) + self.piece(chunk[-1:].decode())
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            text = chunk.decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                known = b"".join(map(self.piece, _PIECE.findall(text.lower())))
+            else:
+                known = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        ids = np.frombuffer(known, np.uint32)
         at, end = len(self), self.used + len(ids)
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(end, len(self.flat)), np.uint32)])
@@ -98,12 +108,14 @@ class Encoder(dict):
         self[chunk] = at
         return at
 
-    def piece(self, text: str) -> list[int]:
-        ids = self.pieces.get(text)
-        if ids is None:
-            spelled = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
-            ids = self.pieces[text] = [t.id for t in self.model.tokenize(spelled)]
-        return ids
+    def piece(self, text: str) -> bytes:
+        known = self.pieces.get(text)
+        if known is None:
+            if len(self.pieces) >= REMEMBERED_PIECES:
+                self.pieces.clear()
+            spelled = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+            known = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return known
 
     def text(self, raw: bytes) -> np.ndarray:
         """The ids of one text and the end id, little-endian unsigned 32-bit."""
@@ -114,12 +126,19 @@ class Encoder(dict):
         total = int(ends[-1]) if len(ends) else 0
         out = np.empty(total + 1, "<u4")
         if total:
-            out[:total] = self.flat[np.arange(total) + np.repeat(self.first[places] - (ends - count), count)]
+            step = np.repeat(self.first[places] - (ends - count), count)
+            step += self.steps(total)
+            np.take(self.flat, step, out=out[:total])
         out[total] = END_ID
         if len(self) > REMEMBERED:
             self.fresh()
         return out
 
+    def steps(self, n: int) -> np.ndarray:
+        if n > len(self.ramp):
+            self.ramp = np.arange(2 * n)
+        return self.ramp[:n]
+
     def column(self, column: pa.Array) -> Iterator[np.ndarray]:
         for raw in column.cast(pa.large_binary()):
             yield self.text(raw.as_py() or b"")
