@@ -4,12 +4,17 @@ The standard library's parser streams events; every block element ends a line.
 line's ratio is its number of text characters over its number of tags (at least
 one).  The ratios are smoothed with a Gaussian over neighbouring lines, and lines
 at or above a threshold, a share of the smoothed ratios' standard deviation,
-cluster into content regions.  A short line inside the article element, or between
-lines of a region, belongs to the region, as headings and one-word paragraphs do.
+cluster into content regions.  A line below it belongs to the region when it lies
+between two lines of the region, as one-word paragraphs do, or is a heading right
+above one.  An article or main element neither adds lines of its own nor hides those
+outside it: it is a weight on the ratios of its lines once one of them has reached
+the threshold without it and by its own ratio, a gap between two of its content lines
+is closed across what is set apart in it, and a gap that leaves or enters it stays open.
 
 Lines inside menus, headers of the page, footers, sidebars, notices, adverts,
-forms, comments and the like (by element, role, class or id) are never content and
-break regions; scripts, styles and comments yield no line.
+forms, comments and the like (by element, role, class or id) are never content, take
+no part in the smoothing and break regions outside articles; scripts, styles and
+comments yield no line.
 
 Defined cases: a null or empty html gives an empty text; unclosed elements end with
 the page, and a paragraph ends where the next block starts; broken markup is read as
@@ -44,32 +49,35 @@ _NAMES = frozenset(
     "subscription signup login share sharing social comment comments disqus replies respond related recommended recommendations pagination pager "
     "widget tags copyright".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 #: Elements that a start of these closes when open.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SIGMA = 1.0
 SHARE = 0.25
+WEIGHT = 4.0
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, number of tags, whether apart, whether inside an article."""
+    """Collects lines: text, number of tags, whether apart, number of the innermost article (0: none), whether a heading."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, bool]] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []
+        self.lines: list[tuple[str, int, bool, int, bool]] = []
+        self.open: list[tuple[str, bool, bool, int]] = []
         self.text: list[str] = []
         self.tags = 0
+        self.articles = 0
 
-    def _state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def _state(self) -> tuple[bool, bool, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0)
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
             _, apart, article = self._state()
-            self.lines.append((text, self.tags, apart, article))
+            self.lines.append((text, self.tags, apart, article, any(tag in _HEADINGS for tag, *_ in self.open)))
             self.tags = 0
         self.text = []
 
@@ -85,7 +93,9 @@ class _Lines(HTMLParser):
             self._close(("p",), ())
         silent, apart, article = self._state()
         silent = silent or tag in _SILENT
-        article = article or tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.articles += 1
+            article = self.articles
         apart = apart or tag in _APART or self._named_apart(attrs) or (tag == "header" and not article)
         self.open.append((tag, silent, apart, article))
 
@@ -125,7 +135,7 @@ class _Lines(HTMLParser):
         if not self._state()[0]:
             self.text.append(data)
 
-    def finish(self) -> list[tuple[str, int, bool, bool]]:
+    def finish(self) -> list[tuple[str, int, bool, int, bool]]:
         self.close()
         self._end_line()
         return self.lines
@@ -150,32 +160,27 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     lines = parser.finish()
-    # Once a page marks its article, lines outside it are not content.
-    marked = any(article and not apart for _, _, apart, article in lines)
-    usable = [not apart and (article or not marked) for _, _, apart, article in lines]
-    ratios = [len(text) / max(1, tags) if use else 0.0 for (text, tags, _, _), use in zip(lines, usable)]
-    if not any(usable):
+    usable = [i for i, (_, _, apart, *_) in enumerate(lines) if not apart]
+    if not usable:
         return ""
+    ratios = [len(lines[i][0]) / max(1, lines[i][1]) for i in usable]
     smooth = smoothed(ratios)
     mean = sum(smooth) / len(smooth)
     threshold = SHARE * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    core = [use and x >= threshold for use, x in zip(usable, smooth)]
-    taken, i = [], 0
-    while i < len(lines):
-        if not usable[i]:
-            i += 1
-            continue
-        end = i
-        while end < len(lines) and usable[end]:
-            end += 1
-        found = [j for j in range(i, end) if core[j]]
-        if found:
-            # Lines between the first and last core line belong to the region, inside an article all.
-            taken += [j for j in range(i, end) if found[0] <= j <= found[-1] or lines[j][3]]
-        elif marked:
-            taken += range(i, end)
-        i = end
-    return " ".join(lines[j][0] for j in taken)
+    # A line that only its neighbours lift does not choose its article.
+    chosen = {lines[i][3] for i, x, own in zip(usable, smooth, ratios) if min(x, own) >= threshold} - {0}
+    core = [k for k, x in enumerate(smooth) if x * (WEIGHT if lines[usable[k]][3] in chosen else 1.0) >= threshold]
+    taken = set(core)
+    for left, right in zip(core, core[1:]):
+        article = lines[usable[left]][3]
+        # Apart lines break a region, unless they lie inside its article.
+        if article == lines[usable[right]][3] and (article or usable[right] - usable[left] == right - left):
+            taken.update(k for k in range(left + 1, right) if lines[usable[k]][3] == article)
+    for k in range(len(usable) - 2, -1, -1):
+        here, below = lines[usable[k]], lines[usable[k + 1]]
+        if here[4] and k + 1 in taken and here[3] == below[3]:
+            taken.add(k)
+    return " ".join(lines[usable[k]][0] for k in sorted(taken))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -277,6 +277,16 @@ def test_main_text():
     assert html_text.main_text(body).startswith("plain long paragraph")
 
 
+def test_ratio_clusters_choose_lines_beside_and_inside_articles():
+    story = [" ".join(words(40, 900 + i)) for i in range(4)]
+    links = "".join(f"<li><a href={i}><b>{i}</b></a></li>" for i in range(9))
+    card = '<article><h2>Card</h2><a href=x><b>Read</b> <i>it</i></a> <a href=y>now</a></article>'
+    beside = "<body><div>" + "".join(f"<p>{p}</p>" for p in story) + f"</div><ul>{links}</ul>{card}</body>"
+    assert html_text.main_text(beside).startswith(" ".join(story)) and "Read it" not in html_text.main_text(beside)
+    inside = "<article><h1>Title</h1>" + "".join(f"<p>{p}</p>" for p in story[:2]) + "<p>Yes.</p><div class=ad>buy</div>" + f"<p>{story[2]}</p><ul>{links}</ul></article>"
+    assert html_text.main_text(inside).startswith(f"Title {story[0]} {story[1]} Yes. {story[2]}") and not html_text.main_text(inside).endswith("8")
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a  b</p>", 1), (1, "u", "<p>a  b</p>", 1), (None, None, None, 2)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [("", 0), ("a b", 3), ("a b", 3)]
