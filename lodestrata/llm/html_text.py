@@ -14,7 +14,12 @@ is closed across what is set apart in it, and a gap that leaves or enters it sta
 Lines inside menus, headers of the page, footers, sidebars, notices, adverts,
 forms, comments and the like (by element, role, class or id) are never content, take
 no part in the smoothing and break regions outside articles; scripts, styles and
-comments yield no line.
+comments yield no line.  Classes and ids never set html, body, main or an article
+apart, and another container only when it is not the body of the page under such a
+name (``has-sidebar``): one that holds more than half of the text that is not apart
+already, less than half of it in links, stays.  Where it is named for comments it must
+hold a first level heading as well, and where only text outside of it is in an article,
+more than four fifths of the text.
 
 Defined cases: a null or empty html gives an empty text; unclosed elements end with
 the page, and a paragraph ends where the next block starts; broken markup is read as
@@ -50,6 +55,10 @@ _NAMES = frozenset(
     "widget tags copyright".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of readers' comments, which can outweigh the article.
+_DISCUSSION = frozenset("comment comments disqus replies respond".split())
+#: Elements that class and id never set apart.
+_BODIES = frozenset("html body main article".split())
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 #: Elements that a start of these closes when open.
@@ -60,26 +69,36 @@ WEIGHT = 4.0
 
 
 class _Lines(HTMLParser):
-    """Collects lines: text, number of tags, whether apart, number of the innermost article (0: none), whether a heading."""
+    """Collects lines: text, number of tags, whether apart, number of the innermost article (0: none), whether a heading.
+
+    ``boxes`` has [parent, text characters, characters in links, whether a first
+    level heading is inside, whether named for comments] of each container with a
+    name of ``_NAMES``; whether it is apart is known when the page has ended.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int, bool]] = []
-        self.open: list[tuple[str, bool, bool, int]] = []
+        self.open: list[tuple[str, bool, bool, int, int]] = []
+        self.boxes: list[list] = []
+        #: Of each line: the innermost container of ``boxes`` (-1: none) and its characters in links.
+        self.inside: list[tuple[int, int]] = []
+        self.linked = 0
         self.text: list[str] = []
         self.tags = 0
         self.articles = 0
 
-    def _state(self) -> tuple[bool, bool, int]:
-        return self.open[-1][1:] if self.open else (False, False, 0)
+    def _state(self) -> tuple[bool, bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0, -1)
 
     def _end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            _, apart, article = self._state()
+            _, apart, article, box = self._state()
             self.lines.append((text, self.tags, apart, article, any(tag in _HEADINGS for tag, *_ in self.open)))
+            self.inside.append((box, min(self.linked, len(text))))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in _BLOCKS:
@@ -91,26 +110,35 @@ class _Lines(HTMLParser):
             self._close(_CLOSES[tag], "ul ol table dl select".split())
         elif tag in _BLOCKS:
             self._close(("p",), ())
-        silent, apart, article = self._state()
+        silent, apart, article, box = self._state()
         silent = silent or tag in _SILENT
         if tag in ("article", "main"):
             self.articles += 1
             article = self.articles
-        apart = apart or tag in _APART or self._named_apart(attrs) or (tag == "header" and not article)
-        self.open.append((tag, silent, apart, article))
+        apart = apart or tag in _APART or self._role_apart(attrs) or (tag == "header" and not article)
+        if not apart and tag not in _BODIES and (names := self._names(attrs)):
+            self.boxes.append([box, 0, 0, False, bool(names & _DISCUSSION)])
+            box = len(self.boxes) - 1
+        if tag == "h1" and not apart:
+            above = box
+            while above >= 0:
+                self.boxes[above][3] = True
+                above = self.boxes[above][0]
+        self.open.append((tag, silent, apart, article, box))
 
     @staticmethod
-    def _named_apart(attrs: list) -> bool:
+    def _role_apart(attrs: list) -> bool:
         for name, value in attrs:
-            if name in ("class", "id") and value:
-                if any(part in _NAMES for part in _PARTS.split(value.lower())):
-                    return True
-            elif name == "role" and value and value.strip().lower() in _ROLES:
+            if name == "role" and value and value.strip().lower() in _ROLES:
                 return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
+            if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
         return False
 
+    @staticmethod
+    def _names(attrs: list) -> set[str]:
+        return {part for name, value in attrs if name in ("class", "id") and value for part in _PARTS.split(value.lower()) if part in _NAMES}
+
     def _close(self, names, stops) -> None:
         """Close an open element of ``names`` above which no element of ``stops`` is open."""
         for at in range(len(self.open) - 1, -1, -1):
@@ -134,12 +162,50 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self._state()[0]:
             self.text.append(data)
+            if any(entry[0] == "a" for entry in self.open):
+                self.linked += len(data.strip())
 
     def finish(self) -> list[tuple[str, int, bool, int, bool]]:
         self.close()
         self._end_line()
+        if self.boxes:
+            apart = self._boxes_apart()
+            self.lines = [(text, tags, gone or box >= 0 and apart[box], *rest) for (text, tags, gone, *rest), (box, _) in zip(self.lines, self.inside)]
         return self.lines
 
+    def _boxes_apart(self) -> list[bool]:
+        """Whether each container, or one around it, is apart."""
+        def chain(box: int) -> Iterator[int]:
+            while box >= 0:
+                yield box
+                box = self.boxes[box][0]
+
+        def measure(apart: list[bool]) -> int:
+            total = 0
+            for box in self.boxes:
+                box[1] = box[2] = 0
+            for (text, _, gone, *_), (box, linked) in zip(self.lines, self.inside):
+                if gone or any(apart[b] for b in chain(box)):
+                    continue
+                total += len(text)
+                for b in chain(box):
+                    self.boxes[b][1] += len(text)
+                    self.boxes[b][2] += linked
+            return total
+
+        measure([False] * len(self.boxes))
+        # What is apart whatever its share counts for no other container.
+        sure = [2 * linked >= chars or discussion and not heading for _, chars, linked, heading, discussion in self.boxes]
+        total = measure(sure)
+        used = [box for (_, _, gone, article, _), (box, _) in zip(self.lines, self.inside) if article and not gone]
+        free = any(box < 0 for box in used)
+        around = {b for box in used for b in chain(box)}
+        small = [
+            gone or (5 * chars <= 4 * total if free and k not in around else 2 * chars <= total)
+            for k, (gone, (_, chars, *_)) in enumerate(zip(sure, self.boxes))
+        ]
+        return [any(small[b] for b in chain(k)) for k in range(len(self.boxes))]
+
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     """Gaussian smoothing; at the ends the kernel is renormalised."""

@@ -287,6 +287,20 @@ def test_ratio_clusters_choose_lines_beside_and_inside_articles():
     assert html_text.main_text(inside).startswith(f"Title {story[0]} {story[1]} Yes. {story[2]}") and not html_text.main_text(inside).endswith("8")
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><article>{}</article></body>", "<html class='no-banner'><body id='menu'><main class='with-sidebar'>{}</main></body></html>",
+    "<body><nav>go</nav><div id='page' class='no-banner'>{}</div></body>", "<article class='post comments-open'>{}</article>",
+    "<div class='post comments-open'>{}</div>", "<article><div class='entry has-sidebar'>{}</div></article>",
+])
+def test_names_of_containers_do_not_hide_the_page(page):
+    story = [" ".join(words(30, 950 + i)) for i in range(3)]
+    said = "<div id='comments'>" + "".join(f"<article class='comment'><p>{' '.join(words(40, 970 + i))}</p></article>" for i in range(6)) + "</div>"
+    apart = "<div class='ad'>buy this now</div><ul class='menu'>" + "<li><a href=x>go there</a></li>" * 9 + "</ul>" + said
+    inner = "<h1>Title of it</h1>" + "".join(f"<p>{p}</p>" for p in story) + apart
+    assert html_text.main_text(page.format(inner)) == "Title of it " + " ".join(story)
+    assert html_text.main_text("<div class='ad'>a longer text of an advert</div><article><p>A short story.</p></article>") == "A short story."
+
+
 def test_extract_keeps_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a  b</p>", 1), (1, "u", "<p>a  b</p>", 1), (None, None, None, 2)], "page_id long, url string, html string, n_chars int")
     assert sorted((r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [("", 0), ("a b", 3), ("a b", 3)]
