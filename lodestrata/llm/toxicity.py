@@ -8,7 +8,8 @@ ordinary content, so both dictionaries predict ordinary text alike and only toxi
 passages compress better with the second.  A text is cut at words into windows;
 a window's gain is its compressed length with the ordinary dictionary less that
 with the toxic one.  Number and share of the windows whose gain reaches each of a
-few thresholds go through a logistic curve, calibrated on training texts that the
+few thresholds, and of those on which the toxic part alone saves as much against no
+dictionary, go through a logistic curve, calibrated on training texts that the
 dictionaries had not seen; a score of 0.5 is the calibrated cut.
 
 The model is fitted on at most ``per_class`` labelled texts of each class (those
@@ -131,21 +132,21 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_engines": None}
 
-    def savings(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes that the toxic and the ordinary dictionary save on each window."""
+    def savings(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes saved on each window: by the toxic dictionary against the ordinary one, by the ordinary one and by the toxic part against none."""
         if self._engines is None:
-            self._engines = tuple(map(_compressor, (b"", self.toxic, self.ordinary)))
-        bare, toxic, ordinary = (_lengths(e, parts) for e in self._engines)
-        return bare - toxic, bare - ordinary
+            self._engines = tuple(map(_compressor, (b"", self.toxic, self.ordinary, self.toxic + self.ordinary)))
+        bare, part, ordinary, toxic = (_lengths(e, parts) for e in self._engines)
+        return ordinary - toxic, bare - ordinary, bare - part
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Per text: log count and share of the windows at or above each threshold."""
+        """Per text: log count and share of the windows at or above each threshold, for both comparisons."""
         parts, sizes = [], []
         for text in texts:
             own = windows(text)
             parts += own
             sizes.append(len(own))
-        toxic, ordinary = self.savings(parts)
+        gain, ordinary, part = self.savings(parts)
         sizes = np.array(sizes, np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
 
@@ -153,9 +154,10 @@ class Model:
             return np.bincount(owner, x, len(sizes)) if len(owner) else np.zeros(len(sizes))
 
         columns = [total(ordinary) / np.maximum(sizes, 1) / 10]
-        for threshold in THRESHOLDS:
-            marked = total(toxic >= threshold)
-            columns += [np.log1p(marked), 10 * marked / np.maximum(sizes, 1)]
+        for saved in (part, gain):
+            for threshold in THRESHOLDS:
+                marked = total(saved >= threshold)
+                columns += [np.log1p(marked), 10 * marked / np.maximum(sizes, 1)]
         return np.column_stack(columns)
 
     def scores(self, texts: list[str]) -> np.ndarray:

@@ -277,6 +277,14 @@ def test_main_text():
     assert html_text.main_text(body).startswith("plain long paragraph")
 
 
+def test_toxic_windows_are_those_that_ordinary_text_does_not_explain():
+    parts = toxicity.windows("worthless pathetic disgusting clown and the river ran over stones")
+    plain = b" the river ran over stones "
+    both, *_ = toxicity.Model(ordinary=plain + b" worthless pathetic disgusting clown ", toxic=b" worthless pathetic disgusting clown ").savings(parts)
+    only, *_ = toxicity.Model(ordinary=plain, toxic=b" worthless pathetic disgusting clown ").savings(parts)
+    assert both.max() < 1 and only[0] >= 6 and only[1:].max() < 1
+
+
 def test_ratio_clusters_choose_lines_beside_and_inside_articles():
     story = [" ".join(words(40, 900 + i)) for i in range(4)]
     links = "".join(f"<li><a href={i}><b>{i}</b></a></li>" for i in range(9))
