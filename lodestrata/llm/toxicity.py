@@ -13,7 +13,9 @@ dictionary, go through a logistic curve, calibrated on training texts that the
 dictionaries had not seen; a score of 0.5 is the calibrated cut.
 
 The model is fitted on at most ``per_class`` labelled texts of each class (those
-with the smallest hash of the id; a documented bound) of at most ``longest`` bytes;
+with the smallest hash of the id among the documents of at most ``longest`` bytes; a
+documented bound); the ordinary dictionary is trained on at most ORDINARY_WINDOWS of
+their windows (so the driver's memory is bounded), taken evenly from all of them;
 every document is scored over its whole text.  The model is a few ten kB and goes
 to the tasks with the function.
 
@@ -43,6 +45,7 @@ WINDOW_WORDS = 4
 PAD = b"\0" * 96
 LEVEL, MIN_MATCH = 6, 3
 ORDINARY_BYTES = 16_384
+ORDINARY_WINDOWS = 60_000
 TOXIC_BYTES = 2_048
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LENGTHS = (5, 6, 8)
@@ -182,9 +185,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 3
     return w
 
 
+def _evenly(texts: list[str], most: int) -> list[bytes]:
+    """At most that many windows, at even steps through all texts."""
+    total = sum(-(-len(_WORD.findall(t.lower().encode())) // WINDOW_WORDS) for t in texts)
+    most = min(most, total)
+    every = (w for t in texts for w in windows(t))
+    return [w for n, w in enumerate(every) if (n + 1) * most // total > n * most // total]
+
+
 def _dictionaries(bad: list[str], good: list[str]) -> tuple[bytes, bytes]:
     """Ordinary and toxic dictionary content; the toxic one is empty if nothing sets toxic texts apart."""
-    ordinary = _trained([w for t in good for w in windows(t)][:60_000], ORDINARY_BYTES)
+    ordinary = _trained(_evenly(good, ORDINARY_WINDOWS), ORDINARY_BYTES)
     chosen = _cover(bad, good)
     if not chosen:
         return ordinary, b""
@@ -244,8 +255,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
     # Ids are chosen first, so texts are neither shuffled nor sorted: 2 * per_class ids are broadcast.
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("label = 0").orderBy(*order).limit(per_class).unionByName(known.where("label = 1").orderBy(*order).limit(per_class))
     short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
+    chosen = known.where("label = 0").orderBy(*order).limit(per_class).unionByName(known.where("label = 1").orderBy(*order).limit(per_class))
     return short.join(F.broadcast(chosen), "doc_id").select("text", "label").collect()
 
 

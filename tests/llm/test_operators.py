@@ -285,6 +285,16 @@ def test_toxic_windows_are_those_that_ordinary_text_does_not_explain():
     assert both.max() < 1 and only[0] >= 6 and only[1:].max() < 1
 
 
+def test_training_sample_is_whole(spark):
+    texts = [f"{i} b c d e f g h" for i in range(50)]
+    assert toxicity._evenly(texts, 1000) == [w for t in texts for w in toxicity.windows(t)] and toxicity._evenly([], 5) == []
+    some = toxicity._evenly(texts, 25)
+    assert len(some) == 25 and toxicity.windows(texts[-1])[1] in some
+    docs = documents(spark, [(i, "x" * (900 if i % 2 else 9), "a") for i in range(60)])
+    known = spark.createDataFrame([(i, 0) for i in range(120)], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(docs, known, "toxic", 15, 100)) == 15
+
+
 def test_ratio_clusters_choose_lines_beside_and_inside_articles():
     story = [" ".join(words(40, 900 + i)) for i in range(4)]
     links = "".join(f"<li><a href={i}><b>{i}</b></a></li>" for i in range(9))
