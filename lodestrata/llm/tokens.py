@@ -1,12 +1,14 @@
 """Token ids in Parquet: encoder, file format, selective reads.
 
-Encoding.  The tokenizer drops white space and treats the stretches between as
-independent, so a text's ids are the ids of its blank-separated chunks in order.
-Each Python worker keeps the ids of chunks it has met; a text then costs one look-up
-per chunk and one numpy gather.  A chunk that is new is split by the tokenizer's
-own pre-tokenizer rule when it consists of characters for which that rule and the
-normaliser are context-free (ASCII and Latin-1 letters, digits, ASCII
-punctuation); any other chunk goes through the tokenizer whole.
+Encoding.  Texts are encoded in slices of SLICE_BYTES.  A tokenizer whose normaliser
+and pre-tokenizer are exactly the known ones (``_BLANK_FREE``) drops white space and
+treats the stretches between as independent, so a text's ids are the ids of its
+blank-separated chunks in order: a slice is split and its chunks are made distinct by
+Arrow, distinct chunks of ASCII and Latin-1 letters, digits and ASCII signs
+are cut into pieces (letters, one digit, other signs) whose distinct ones go to the
+tokenizer's model, all other chunks go through the whole tokenizer, and the ids are
+gathered by numpy.  With any other tokenizer every whole text goes through
+the library.
 
 Format.  Files hold contiguous doc_id ranges in ascending order, rows sorted.
 Columns: doc_id and n_tokens (delta encoding), start_in_file (delta), ids (list,
@@ -24,13 +26,15 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,107 +45,160 @@ from lodestrata.storage import materialise, scratch_path
 END_ID = 1
 ROW_GROUP_TOKENS = 1_000_000
 PAGE_BYTES = 64 * 1024
-#: Chunks that a worker remembers.
-REMEMBERED = 300_000
-#: Pieces of chunks (words without case and punctuation) that a worker remembers.
-REMEMBERED_PIECES = 400_000
-
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"[!-/0-9:-@\\[-`{{-~{_LETTERS}]*")
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+#: Bytes of text that are encoded at once (a longer text is a slice of its own).
+SLICE_BYTES = 8 << 20
+#: Distinct pieces and chunks whose ids a worker remembers (and those of one slice besides).
+REMEMBERED = 400_000
+#: The normaliser and pre-tokenizer under which blank-separated chunks are independent.
+_BLANK_FREE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+#: Class of each byte for cutting pieces: 1 letter, 2 digit, 0 another sign, 9 none of these.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[ord("A") : ord("Z") + 1] = _CLASS[ord("a") : ord("z") + 1] = 1
+_CLASS[ord("0") : ord("9") + 1] = 2
+# Controls, the apostrophe of contractions, a sign of special tokens and bytes of other characters.
+_CLASS[:0x20] = _CLASS[0x7F:] = _CLASS[ord("'")] = _CLASS[ord("|")] = 9
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each byte of a UTF-8 string; Latin-1 letters count as letters."""
+    kind, lower = _CLASS[data], _LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of multiplication and division
+    kind[lead] = kind[lead + 1] = 1
+    capital = lead[data[lead + 1] <= 0x9E] + 1
+    lower[capital] += 32
+    return kind, lower
 
 
 def _byte_letters() -> list[str]:
     """The byte-level alphabet: printable bytes stand for themselves, others follow from U+0100."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    table, spare = [], 0
-    for b in range(256):
-        if b in shown:
-            table.append(chr(b))
-        else:
-            table.append(chr(256 + spare))
-            spare += 1
-    return table
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
+
+
+def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of neighbouring texts that hold about SLICE_BYTES together."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, "right")) - 1)
+        yield begin, column.slice(begin, end - begin)
+        begin = end
+
+
+def gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The runs flat[first : first + count], one after the other."""
+    ends = np.cumsum(count)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(first - (ends - count), count) + np.arange(total)]
 
 
-class Encoder(dict):
-    """Ids of texts; as a dict it maps a chunk to its place in the arrays of known ids."""
+class Encoder:
+    """Ids of whole texts by one tokenizer file."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.fresh()
-
-    def fresh(self) -> None:
-        self.clear()
-        self.flat = np.empty(1 << 16, np.uint32)
-        self.first = np.empty(1 << 14, np.int64)
-        self.count = np.empty(1 << 14, np.int64)
-        self.used = 0
-        self.ramp = np.arange(1 << 14)
-
-    def __missing__(self, chunk: bytes) -> int:
-        if chunk.isalpha():  # ASCII letters only: one piece
-            known = self.piece(chunk.decode().lower())
-        elif chunk[:-1].isalpha() and chunk[-1:] in (b".", b","):
-            known = self.piece(chunk[:-1].decode().lower()) + self.piece(chunk[-1:].decode())
-        else:
-            text = chunk.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text) and "<|" not in text:
-                known = b"".join(map(self.piece, _PIECE.findall(text.lower())))
-            else:
-                known = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        ids = np.frombuffer(known, np.uint32)
-        at, end = len(self), self.used + len(ids)
-        if end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(end, len(self.flat)), np.uint32)])
-        if at >= len(self.first):
-            self.first = np.concatenate([self.first, np.empty_like(self.first)])
-            self.count = np.concatenate([self.count, np.empty_like(self.count)])
-        self.flat[self.used : end] = ids
-        self.first[at], self.count[at] = self.used, len(ids)
-        self.used = end
-        self[chunk] = at
-        return at
-
-    def piece(self, text: str) -> bytes:
-        known = self.pieces.get(text)
-        if known is None:
-            if len(self.pieces) >= REMEMBERED_PIECES:
-                self.pieces.clear()
-            spelled = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-            known = self.pieces[text] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return known
-
-    def text(self, raw: bytes) -> np.ndarray:
-        """The ids of one text and the end id, little-endian unsigned 32-bit."""
-        chunks = raw.split()
-        places = np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks))
-        count = self.count[places]
-        ends = np.cumsum(count)
-        total = int(ends[-1]) if len(ends) else 0
-        out = np.empty(total + 1, "<u4")
-        if total:
-            step = np.repeat(self.first[places] - (ends - count), count)
-            step += self.steps(total)
-            np.take(self.flat, step, out=out[:total])
-        out[total] = END_ID
-        if len(self) > REMEMBERED:
-            self.fresh()
-        return out
-
-    def steps(self, n: int) -> np.ndarray:
-        if n > len(self.ramp):
-            self.ramp = np.arange(2 * n)
-        return self.ramp[:n]
+        rules = json.loads(self.tokenizer.to_str())
+        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not {"<", "|"} <= set(t["content"]) or re.search(r"\s", t["content"]) for t in rules["added_tokens"])
+        self.by_chunk = plain and all(rules[k] == v for k, v in _BLANK_FREE.items())
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> array:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> array:
+        """Ids of a cut piece, which is in lower case and a stretch of the pre-tokenizer already."""
+        spelled = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(spelled)])
+
+    def _distinct(self, texts: list[str], encode: Callable[[str], array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct strings, one after the other, and first place and count of each."""
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = list(map(known.get, texts))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = known[texts[i]] = encode(texts[i]).tobytes()
+        count = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.uint32), np.cumsum(count) - count, count
+
+    def _chunks(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks without blanks, one after the other, and first place and count of each."""
+        offsets = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+        data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        kind, lower = _classes(data)
+        strange = np.concatenate(([0], np.cumsum(kind == 9)))
+        simple = strange[offsets[1:]] == strange[offsets[:-1]]
+        # Pieces of the simple chunks: one begins with each chunk, each digit and each change of class.
+        sizes = np.diff(offsets)
+        kept = np.repeat(simple, sizes)
+        kind, lower, sizes = kind[kept], lower[kept], sizes[simple]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        begins = np.ones(len(lower) + 1, bool)
+        begins[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        begins[ends] = True
+        edges = np.flatnonzero(begins)
+        every = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(lower)).dictionary_encode()
+        flat, first, count = self._distinct(every.dictionary.to_pylist(), self._piece)
+        piece = every.indices.to_numpy()
+        flat = gather(flat, first[piece], count[piece])
+        at = np.concatenate(([0], np.cumsum(count[piece])))[np.searchsorted(edges, ends)]
+        # All other chunks go through the tokenizer.
+        other, other_first, other_count = self._distinct(chunks.filter(pa.array(~simple)).to_pylist(), self.ids)
+        first, count = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        first[simple], count[simple] = at[:-1], np.diff(at)
+        first[~simple], count[~simple] = len(flat) + other_first, other_count
+        return np.concatenate([flat, other]), first, count
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a slice of texts, each with the end id, and the places where texts begin and end."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_chunk:
+            flat, first, count = self._whole(texts)
+            ends = np.cumsum(count + 1)
+            out = np.full(int(ends[-1]) if len(ends) else 0, END_ID, "<u4")
+            inside = np.ones(len(out), bool)
+            inside[ends - 1] = False
+            out[inside] = flat
+            return out, np.concatenate(([0], ends))
+        split = pc.ascii_split_whitespace(texts)
+        bounds = split.offsets.to_numpy()
+        every = split.flatten().dictionary_encode()
+        flat, first, count = self._chunks(every.dictionary.cast(pa.large_string()))
+        flat, first, count = np.append(flat, np.uint32(END_ID)), np.append(first, len(flat)), np.append(count, 1)
+        places = np.insert(every.indices.to_numpy().astype(np.int64), bounds[1:] - bounds[0], len(first) - 1)
+        counts = count[places]
+        out = gather(flat, first[places], counts).astype("<u4", copy=False)
+        ends = np.concatenate(([0], np.cumsum(counts)))[bounds - bounds[0] + np.arange(len(bounds))]
+        return out, ends
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = [self.ids(t.as_py()) for t in texts]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        return np.frombuffer(b"".join(found), np.uint32), np.cumsum(count) - count, count
 
     def column(self, column: pa.Array) -> Iterator[np.ndarray]:
-        for raw in column.cast(pa.large_binary()):
-            yield self.text(raw.as_py() or b"")
+        """The ids of each text with the end id, little-endian unsigned 32-bit."""
+        for _, texts in slices(column):
+            ids, bounds = self.encode(texts)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                yield ids[a:b]
 
 
 _encoders: dict[str, Encoder] = {}
