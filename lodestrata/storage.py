@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _fallback: dict[str, str] = {}
 
@@ -65,6 +66,10 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+#: Tables up to this many bytes (measured, as Parquet) may be sent to every executor.
+BROADCAST_BYTES = 32 << 20
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -74,4 +79,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for table in tables:
+        delete_path(table.sparkSession, table.scratch_path)
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of a materialised table."""
+    spark = table.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def sized(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A materialised table, marked for broadcast when its measured size is within the bound.
+
+    Beyond the bound the join is left to the planner, which shuffles both sides.
+    """
+    return F.broadcast(table) if stored_bytes(table) <= most else table
