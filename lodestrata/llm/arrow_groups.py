@@ -1,4 +1,4 @@
-"""Key runs in a sorted Arrow stream, so that many small groups share one call."""
+"""Key runs in a sorted Arrow stream, and slices of texts of bounded size."""
 
 from __future__ import annotations
 
@@ -53,3 +53,14 @@ def lists(column: pa.ChunkedArray, dtype) -> list[np.ndarray]:
     sizes = flat.value_lengths().to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     return [values[e - s : e] for s, e in zip(sizes, ends)]
+
+
+def slices(column: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of neighbouring texts that hold about ``most`` bytes together; a longer text is alone."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1)
+        yield begin, column.slice(begin, end - begin)
+        begin = end

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.storage import materialise
+from lodestrata.storage import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         target = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         jumped = stepped.join(target, "label").select("node", "old", F.least("label", "next").alias("label"))
         after = materialise(jumped, "labels")
-        changed = after.where("label <> old").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
+        discard(labels)
+        if not after.where("label <> old").head(1):
+            discard(both)
+            return after.drop("old")
+        labels = after

@@ -85,10 +85,18 @@ def texts_of(column: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] if v else flat[:0] for a, b, v in zip(offsets[:-1], offsets[1:], valid)]
 
 
-def minhash(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """For each seed the shingle's scrambled hash that is smallest under it."""
-    out = np.empty(len(seeds), np.uint64)
-    for i, seed in enumerate(seeds):
-        x = (shingles ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
-        out[i] = (x ^ (x >> np.uint64(32))).min()
+def minhash(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """(set, i) -> the smallest 32-bit hash of a set's shingles under the i-th of ``count`` hash functions.
+
+    Two sets agree at i with a probability equal to their Jaccard similarity.  No set may be empty.
+    """
+    draw = np.random.default_rng(7_919)
+    factors = draw.integers(0, 1 << 31, count, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    terms = draw.integers(0, 1 << 32, count, dtype=np.uint32)
+    out = np.empty((len(sets), count), np.uint32)
+    if sets:
+        short = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+        starts = np.cumsum([0, *map(len, sets[:-1])])
+        for i in range(count):
+            out[:, i] = np.minimum.reduceat(short * factors[i] + terms[i], starts)
     return out

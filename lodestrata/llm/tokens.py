@@ -39,6 +39,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.llm.arrow_groups import slices
 from lodestrata.llm.files import prepare, resolve, unique
 from lodestrata.storage import materialise, scratch_path
 
@@ -86,17 +87,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of neighbouring texts that hold about SLICE_BYTES together."""
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    begin = 0
-    while begin < len(column):
-        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, "right")) - 1)
-        yield begin, column.slice(begin, end - begin)
-        begin = end
-
-
 def gather(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The runs flat[first : first + count], one after the other."""
     ends = np.cumsum(count)
@@ -195,7 +185,7 @@ class Encoder:
 
     def column(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text with the end id, little-endian unsigned 32-bit."""
-        for _, texts in slices(column):
+        for _, texts in slices(column, SLICE_BYTES):
             ids, bounds = self.encode(texts)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 yield ids[a:b]
