@@ -52,3 +52,17 @@ def text_key(text: Column) -> Column:
     """128 bits that stand for a whole text (null counts as empty)."""
     whole = F.coalesce(text, F.lit(""))
     return F.struct(F.xxhash64(whole).alias("a"), F.xxhash64(F.lit(1), whole).alias("b"))
+
+
+def closed(df: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` under names of its own (``__in0``, ...), and the column of each old name.
+
+    An operator that works on it can add any other name without a clash.
+    """
+    names = [f"__in{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), {old: F.col(new) for old, new in zip(df.columns, names)}
+
+
+def reopened(columns: dict[str, Column], *added: str) -> list[Column]:
+    """The old columns under their names, but for those that ``added`` ones replace, and then these."""
+    return [*(c.alias(name) for name, c in columns.items() if name not in added), *map(F.col, added)]

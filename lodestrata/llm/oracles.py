@@ -21,7 +21,7 @@ OP1 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
  line AS (SELECT DISTINCT host, text, z FROM (SELECT host, text, trim(regexp_replace(unnest(string_split(lower(text), chr(10))), '[ \t\x0b\f\r]+', ' ', 'g')) AS z FROM d) WHERE z <> ''),
  wide AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY 1),
- above AS (SELECT host, z FROM (SELECT host, z, count(*) AS n FROM line GROUP BY ALL) JOIN wide USING (host) WHERE n > 20 AND n * 1000 > texts * 5),
+ above AS (SELECT host, z FROM (SELECT host, z, count(*) AS n FROM line GROUP BY ALL) JOIN wide USING (host) WHERE n > 20 AND (n * 1000 > texts * 5 OR length(z) - length(replace(z, ' ', '')) + 1 >= 10)),
  sized AS (SELECT line.*, length(z) - length(replace(z, ' ', '')) + 1 AS words, above.z IS NOT NULL AS bad FROM line LEFT JOIN above USING (host, z)),
  cut AS (SELECT host, text, CAST(sum(words) AS BIGINT) AS line_words, CAST(coalesce(sum(words) FILTER (bad), 0) AS BIGINT) AS removed FROM sized GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,

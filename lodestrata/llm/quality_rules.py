@@ -1,20 +1,29 @@
 """Cross-document line frequency (native DataFrame operations only).
 
 A line is normalised (lower case, blanks collapsed, ends trimmed) and hashed.
-Within one host a line's frequency is the number of *different texts* that hold
-it, so exact copies of one document count once.  A line above the host's limit
-is boiler-plate and is removed; a document that loses too much is rejected.
+Within one host a line's frequency is the number of distinct documents that hold
+it; documents of equal text are one document (``count_copies`` counts each row
+instead, with which a document that was copied often loses all of its lines and is
+rejected with all its copies).  A line above the limits is boiler-plate and is
+removed; a document that loses too much is rejected.
+
+Limits: more than ``min_texts`` documents must hold the line.  A line of
+``long_words`` words or more needs nothing else, so a passage is treated alike on
+small and hot hosts; a shorter one, which unrelated documents also share by chance,
+must be in more than ``per_mille`` of the host's documents as well.
 
 Skew: counting runs in two steps, first distinct (host, line, text), then
 (host, line) with partial sums, so neither a hot host nor a hot line meets in one
-task.  The lines above the limit are written to a table before they are joined,
-which leaves a plain join of two exchanges: adaptive execution can split a hot
-line, or send the small side to all tasks when its measured size allows.
+task.  The lines above the limit and what each text loses are written to tables;
+these are broadcast when their measured size is within a bound, else the join is
+left to adaptive execution, which can split a hot line.
 
 Defined cases: a null text has no words and fails the base rules; a null host is
-the host ``''``; lines without a word are never counted or removed; a repeated
-row is another copy of the same text; an empty table gives an empty result;
-other columns of the input are carried or ignored and never read.
+the host ``''``; lines without a word are never counted or removed; a line that is
+repeated in a text counts once for it; a line in exactly as many documents as a
+limit says stays; repeated rows are copies of one text and get equal results; an
+empty table gives an empty result; other columns of the input are carried and never
+read, but for those that bear the name of a result column, which replaces them.
 """
 
 from __future__ import annotations
@@ -24,8 +33,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.columns import blank_words, pairs, with_grams
-from lodestrata.storage import materialise
+from lodestrata.llm.columns import blank_words, closed, pairs, reopened, text_key, with_grams
+from lodestrata.storage import discard, materialise, sized
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -33,10 +42,13 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is removed when more than both limits of a host's texts hold it."""
+    """When a line is removed, and a document rejected."""
 
     min_texts: int = 20
+    #: Lines of fewer than ``long_words`` words must be in more than this share of the host's documents, too.
     per_mille: int = 5
+    long_words: int = 10
+    count_copies: bool = False
     #: Rejected when something was removed and less than one part in this many words is left,
     keep_one_in: int = 3
     #: or fewer than this many words.
@@ -98,49 +110,49 @@ def base_metrics(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
 
-def _keyed(docs: DataFrame, text: str, host: str) -> DataFrame:
-    return docs.withColumns({
-        "__host": F.coalesce(F.col(host).cast("string"), F.lit("")),
-        "__text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
-    })
+def _host(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(""))
 
 
 def removed_lines(docs: DataFrame, text: str = "text", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """Per (host, different text) that loses a line: line words, words removed, hashes removed."""
-    keyed = _keyed(docs, text, host)
-    parts = F.array_distinct(F.transform(normalised_lines(F.col(text)), lambda x: F.struct(F.xxhash64(x).alias("line"), _line_words(x).alias("w"))))
+    keyed = docs.select(_host(F.col(host)).alias("__host"), text_key(F.col(text)).alias("__key"), F.col(text).alias("__text"))
+    parts = F.array_distinct(F.transform(normalised_lines(F.col("__text")), lambda x: F.struct(F.xxhash64(x).alias("line"), _line_words(x).alias("w"))))
     lines = materialise(
-        keyed.select("__host", "__text_hash", F.explode(parts).alias("x"))
-        .groupBy("__host", "__text_hash", F.col("x.line").alias("__line")).agg(F.max("x.w").alias("w")),
+        keyed.select("__host", "__key", F.explode(parts).alias("x"))
+        .groupBy("__host", "__key", F.col("x.line").alias("__line")).agg(F.max("x.w").alias("w"), F.count("*").alias("rows")),
         "lines",
     )
-    hosts = keyed.groupBy("__host", "__text_hash").agg(F.lit(1).alias("one")).groupBy("__host").agg(F.count("*").alias("texts"))
-    frequent = lines.groupBy("__host", "__line").agg(F.count("*").alias("n")).where(F.col("n") > limits.min_texts)
-    above = materialise(
-        frequent.join(hosts, "__host").where(F.col("n") * 1000 > F.col("texts") * limits.per_mille).select("__host", "__line"),
-        "frequent-lines",
-    )
-    hit = lines.join(above, ["__host", "__line"])
-    removed = hit.groupBy("__host", "__text_hash").agg(F.sum("w").alias("removed_words"), F.collect_list("__line").alias("removed_hashes"))
-    totals = lines.groupBy("__host", "__text_hash").agg(F.sum("w").alias("line_words"))
-    return materialise(removed.join(totals, ["__host", "__text_hash"]), "removed-lines")
+    weight = F.col("rows") if limits.count_copies else F.lit(1)
+    held = lines.groupBy("__host", "__line").agg(F.sum(weight).alias("n"), F.max("w").alias("w")).where(F.col("n") > limits.min_texts)
+    texts = keyed.groupBy("__host", "__key").agg(F.count("*").alias("rows"))
+    hosts = texts.groupBy("__host").agg(F.sum(weight).alias("texts"))
+    common = (F.col("w") >= limits.long_words) | (F.col("n") * 1000 > F.col("texts") * limits.per_mille)
+    above = materialise(held.join(hosts, "__host").where(common).select("__host", "__line"), "frequent-lines")
+    hit = lines.join(sized(above), ["__host", "__line"])
+    removed = hit.groupBy("__host", "__key").agg(F.sum("w").alias("removed_words"), F.collect_list("__line").alias("removed_hashes"))
+    totals = lines.groupBy("__host", "__key").agg(F.sum("w").alias("line_words"))
+    out = materialise(removed.join(totals, ["__host", "__key"]), "removed-lines")
+    discard(lines, above)
+    return out
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """All rows of ``docs`` with the base metrics, removed_words, removed_hashes, depleted and kept."""
-    columns = list(docs.columns)
-    removed = removed_lines(docs, text, host, limits)
-    left = F.col("line_words") - F.col("removed_words")
-    depleted = F.coalesce((left < limits.min_words_left) | (left * limits.keep_one_in < F.col("line_words")), F.lit(False))
+    inner, given = closed(docs)
+    lost = removed_lines(inner.select(given[text].alias("text"), given[host].alias("source")), limits=limits)
+    lost = sized(lost).withColumnsRenamed({"removed_words": "__removed", "removed_hashes": "__hashes", "line_words": "__line_words"})
+    left = F.col("__line_words") - F.col("__removed")
+    depleted = F.coalesce((left < limits.min_words_left) | (left * limits.keep_one_in < F.col("__line_words")), F.lit(False))
+    inner = inner.withColumns({"__host": _host(given[host]), "__key": text_key(given[text]), "__text": given[text]})
     # The row id keeps a later filter above the metrics: pushed below, their expressions would be copied into it many times over.
-    measured = base_metrics(_keyed(docs, text, host), text).withColumn("__row", F.monotonically_increasing_id())
-    return (
-        measured.join(removed, ["__host", "__text_hash"], "left")
-        .withColumn("depleted", depleted)
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted") & (F.col("__row") >= 0))
-        .select(*columns, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"), "removed_hashes", "depleted", "kept")
-    )
+    measured = base_metrics(inner, "__text").withColumn("__row", F.monotonically_increasing_id())
+    found = measured.join(lost, ["__host", "__key"], "left").withColumns({
+        "removed_words": F.coalesce("__removed", F.lit(0)).cast("long"), "removed_hashes": F.col("__hashes"), "depleted": depleted,
+        "kept": ~F.col("base_failed") & ~depleted & (F.col("__row") >= 0),
+    })
+    added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed_hashes", "depleted", "kept")
+    return found.select(*reopened(given, *added))
 
 
 def without_lines(text: Column, hashes: Column) -> Column:
@@ -149,3 +161,12 @@ def without_lines(text: Column, hashes: Column) -> Column:
         flat = F.btrim(F.regexp_replace(F.lower(line), "[ \\t\\x0b\\f\\r]{2,}|[\\t\\x0b\\f\\r]", " "))
         return ~F.array_contains(hashes, F.xxhash64(flat))
     return F.when(hashes.isNull(), text).otherwise(F.array_join(F.filter(F.split(text, "\n"), kept), "\n"))
+
+
+def rejected_out(docs: DataFrame, text: str = "text", host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """The documents that pass, without the lines above the limits; the columns of ``docs``."""
+    inner, given = closed(docs)
+    where = {name: i for i, name in enumerate(docs.columns)}
+    judged = judge(inner, f"__in{where[text]}", f"__in{where[host]}", limits).where("kept")
+    body = without_lines(given[text], F.col("removed_hashes"))
+    return judged.select(*(body.alias(name) if name == text else c.alias(name) for name, c in given.items()))
