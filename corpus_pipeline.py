@@ -1,9 +1,24 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again.
 
-quality classifier -> quality rules -> near duplicates -> decontamination -> packing.
-All but the last stage return the columns of documents.  Rejected documents go,
-lines above the line limits are taken out of those that stay, one document of each
-near-duplicate group stays, contaminated documents go.
+1. quality classifier: documents whose tail probability is below the cut go;
+2. quality rules: documents that fail the base or line rules go, and lines above the
+   line limits are taken out of those that stay (``n_chars`` follows);
+3. n-gram Jaccard join: one document of each near-duplicate group stays, the one with
+   the smallest (doc_id, text key);
+4. benchmark decontamination: documents go that are contaminated, or hold a hit
+   stretch of at least one whole window (13 words) of a benchmark item;
+5. packing: pieces of the documents in sequences of at most 2048 tokens.
+
+All but the last stage return the columns of ``documents``, in their order and types;
+further columns are carried, whatever their names.
+
+Defined cases: a null or empty text has no features, so stage 1 judges it by the
+model's prior, and stage 2 rejects it, as it does every text of fewer than ten words;
+texts of any length are read whole; ties (a probability at the cut, a line in as many
+documents as a limit says) keep the document or line; rows that repeat id and text are
+judged alike and stage 3 keeps one of them; null ids are never learnt from and kept
+like others; without labels of two grades stage 1 keeps all, without benchmark rows
+stage 4 does; an empty table passes through all stages as one.
 """
 
 from __future__ import annotations
@@ -23,9 +38,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass base and line rules, without the lines above the limits."""
-    judged = quality_rules.judge(docs).where("kept")
-    text = quality_rules.without_lines(F.col("text"), F.col("removed_hashes"))
-    return judged.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = quality_rules.rejected_out(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +48,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by a benchmark item."""
-    items = table(spark, sf_dir, "benchmark")
-    return decontamination.decontaminate(docs, items).where("not contaminated").select(*docs.columns)
+    """Documents without a whole window of a benchmark item and not contaminated by short ones."""
+    return decontamination.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
