@@ -65,18 +65,10 @@ def _windows(hashed: DataFrame, length: int, *keep: str, marks: str | None = Non
     df = with_grams(df, "__h2", "__b", length).withColumnsRenamed({f"__f{length}": "f", "__a": "a", "__b": "b"})
     own = F.transform(F.arrays_zip("f", "a", "b"), lambda x, i: F.struct(i.alias("start"), x["f"].alias("f"), x["a"].alias("a"), x["b"].alias("b")))
     df = df.select(*keep, own.alias("x"), *([marks] if marks else []))
-    rows = F.filter("x", lambda x: F.array_contains(F.col(marks), _mark(length, x["f"]))) if marks else F.col("x")
+    rows = F.filter("x", lambda x: F.array_contains(F.col(marks), x["f"])) if marks else F.col("x")
     return df.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.start", F.lit(length).alias("length"), "x.f", "x.a", "x.b")
 
 
-def _mark(length: int, fingerprint: Column) -> Column:
-    return F.xxhash64(F.lit(length), fingerprint)
-
-
-def _marks(length: int) -> Column:
-    return F.transform(f"__f{length}", lambda f: _mark(length, f))
-
-
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
     """The windows of all items, written once, and the window lengths in use."""
     base = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
@@ -99,9 +91,8 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     hashed = _hashed(texts, alnum_words(F.col("__text")), "__key")
     for m in lengths:
         hashed = _with_fingerprints(hashed, m)
-    every = F.array_distinct(F.concat(*[_marks(m) for m in lengths]))
-    wanted = windows.select(F.xxhash64("length", "f").alias("mark")).distinct()
-    wanted = materialise(wanted, "item-marks")
+    every = F.array_distinct(F.concat(*[f"__f{m}" for m in lengths]))
+    wanted = materialise(windows.select(F.col("f").alias("mark")).distinct(), "item-marks")
     found = hashed.select("__key", F.explode(every).alias("mark")).join(sized(wanted), "mark", "left_semi")
     marked = materialise(found.groupBy("__key").agg(F.collect_set("mark").alias("__marks")), "marked-texts")
 

@@ -48,7 +48,7 @@ ORDINARY_BYTES = 16_384
 ORDINARY_WINDOWS = 60_000
 TOXIC_BYTES = 2_048
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LENGTHS = (5, 6, 8)
+_LENGTHS = (4, 5, 6, 8, 10)
 THRESHOLDS = (1, 2, 3, 4, 6)
 
 
@@ -93,7 +93,7 @@ def _frequent(texts: list[str], share: float) -> Counter:
     return Counter({x: n for x, n in tally.items() if n >= max(2, len(texts) * share)})
 
 
-def _cover(toxic: list[str], ordinary: list[str], times: int = 3, most: int = 200) -> list[bytes]:
+def _cover(toxic: list[str], ordinary: list[str], times: int = 6, most: int = 200) -> list[bytes]:
     """Strings that cover each toxic text up to ``times`` times and are rare in ordinary ones."""
     least = max(2, len(toxic) // 200)
     tally = _frequent(toxic, 1 / 200)
