@@ -67,7 +67,7 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 #: Tables up to this many bytes (measured, as Parquet) may be sent to every executor.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
