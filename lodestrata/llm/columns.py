@@ -48,6 +48,16 @@ def with_grams(df: DataFrame, source: str, target: str, k: int, combine=F.xxhash
     return df if have == target else df.withColumn(target, F.col(source))
 
 
+def unnested(df: DataFrame, array: Column, *keep: str) -> DataFrame:
+    """``keep`` and one row ``x`` for each member of ``array`` that is not null.
+
+    With a plain explode the optimiser adds a filter on the array's size and moves it
+    down to the scan, which computes the array twice and, where it is built in many
+    steps, writes out all of them in one huge expression.
+    """
+    return df.select(*keep, F.explode_outer(array).alias("x")).where(F.col("x").isNotNull())
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a whole text (null counts as empty)."""
     whole = F.coalesce(text, F.lit(""))

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.columns import alnum_words, closed, reopened, text_key, with_grams
+from lodestrata.llm.columns import alnum_words, closed, reopened, text_key, unnested, with_grams
 from lodestrata.storage import discard, materialise, sized
 
 WINDOW = 13
@@ -66,7 +66,7 @@ def _windows(hashed: DataFrame, length: int, *keep: str, marks: str | None = Non
     own = F.transform(F.arrays_zip("f", "a", "b"), lambda x, i: F.struct(i.alias("start"), x["f"].alias("f"), x["a"].alias("a"), x["b"].alias("b")))
     df = df.select(*keep, own.alias("x"), *([marks] if marks else []))
     rows = F.filter("x", lambda x: F.array_contains(F.col(marks), x["f"])) if marks else F.col("x")
-    return df.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.start", F.lit(length).alias("length"), "x.f", "x.a", "x.b")
+    return unnested(df, rows, *keep).select(*keep, "x.start", F.lit(length).alias("length"), "x.f", "x.a", "x.b")
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
@@ -93,7 +93,7 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str =
         hashed = _with_fingerprints(hashed, m)
     every = F.array_distinct(F.concat(*[f"__f{m}" for m in lengths]))
     wanted = materialise(windows.select(F.col("f").alias("mark")).distinct(), "item-marks")
-    found = hashed.select("__key", F.explode(every).alias("mark")).join(sized(wanted), "mark", "left_semi")
+    found = unnested(hashed, every, "__key").withColumnRenamed("x", "mark").join(sized(wanted), "mark", "left_semi")
     marked = materialise(found.groupBy("__key").agg(F.collect_set("mark").alias("__marks")), "marked-texts")
 
     # One row for each different text that has a common fingerprint.

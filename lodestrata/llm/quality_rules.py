@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.columns import blank_words, closed, pairs, reopened, text_key, with_grams
+from lodestrata.llm.columns import blank_words, closed, pairs, reopened, text_key, unnested, with_grams
 from lodestrata.storage import discard, materialise, sized
 
 SYMBOLS = "#*$%&|<>"
@@ -119,7 +119,7 @@ def removed_lines(docs: DataFrame, text: str = "text", host: str = "source", lim
     keyed = docs.select(_host(F.col(host)).alias("__host"), text_key(F.col(text)).alias("__key"), F.col(text).alias("__text"))
     parts = F.array_distinct(F.transform(normalised_lines(F.col("__text")), lambda x: F.struct(F.xxhash64(x).alias("line"), _line_words(x).alias("w"))))
     lines = materialise(
-        keyed.select("__host", "__key", F.explode(parts).alias("x"))
+        unnested(keyed, parts, "__host", "__key")
         .groupBy("__host", "__key", F.col("x.line").alias("__line")).agg(F.max("x.w").alias("w"), F.count("*").alias("rows")),
         "lines",
     )
