@@ -8,67 +8,69 @@ import time
 from dataclasses import asdict
 
 from lodestrata import toon
-from lodestrata.schema import IndexedChunk, OutlineEntry, SearchOptions, SearchResult, SourceLine, TextMatch
-
+from lodestrata.schema import SearchOptions
+
+#: What ``explore tools`` shows: per tool its arguments and purpose.
+USAGE = {
+    "search": ("QUERY... [--top-k N] [--include-path LIKE] [--exclude-path LIKE] [--full]", "find passages by meaning; several queries share one ranking"),
+    "text": ("TEXT [--path PATH] [--limit N]", "find lines that contain a string"),
+    "paths": ("PATTERN [--limit N]", "find files by a part of their path"),
+    "chunks": ("PATH [--start-line N --end-line M] [--full]", "show what a file defines, or some of its lines"),
+    "info": ("", "count files, chunks and vectors"),
+}
 TOOLS = {
     "version": 2,
-    "flow": "search gives locations; chunks PATH --start-line N --end-line M prints one.",
-    "tools": {
-        "search": "explore search QUERY... [--top-k N] [--include-path LIKE] [--exclude-path LIKE] [--full]: passages by meaning",
-        "chunks": "explore chunks PATH [--start-line N] [--end-line M] [--full]: outline of a file, or its source lines",
-        "text": "explore text TEXT [--path PATH] [--limit N]: exact string, as path:line: text",
-        "paths": "explore paths PATTERN [--limit N]: paths that contain a substring",
-        "info": "explore info: size of the index and its dimensions",
-    },
-    "notes": "Results are compact tables; --prose prints text. All but tools take --db-path INDEX.",
+    "usage": [{"tool": name, "arguments": arguments, "purpose": purpose} for name, (arguments, purpose) in USAGE.items()],
+    "options": "--db-path INDEX and --repo NAME for all but tools; --prose for text instead of tables",
 }
 
-
-def chunks_text(chunks: list[IndexedChunk]) -> str:
-    out = []
-    for c in chunks:
-        out.append(f"{c.path}:{c.start_line}-{c.end_line}" + (f"  [{c.chunk_kind}]" if c.chunk_kind else ""))
-        out += [f"    {line}" for line in c.text.splitlines()] + [""]
-    return "\n".join(out) if out else "No chunks found."
-
-
-def outline_text(entries: list[OutlineEntry], path: str) -> str:
-    if not entries:
-        return "Nothing indexed for that path."
-    spans = [f"{e.start_line}-{e.end_line}" for e in entries]
-    width = max(map(len, spans))
-    lines = [f"{s:<{width}}  {e.chunk_kind or 'chunk'}  {e.symbol or '-'}" for s, e in zip(spans, entries)]
-    return "\n".join([f"{path}  ({len(entries)} entries)", *lines])
-
-
-def matches_text(matches: list[TextMatch]) -> str:
-    """``~`` marks a line number that is only its passage's start."""
-    return "\n".join(f"{m.path}:{'' if m.exact_line else '~'}{m.line_number}: {m.text}" for m in matches) or "No matches found."
-
-
-def lines_text(lines: list[SourceLine], path: str) -> str:
-    if not lines:
-        return "No source lines found."
-    width = len(str(lines[-1].line_number))
-    return "\n".join([f"{path}:{lines[0].line_number}-{lines[-1].line_number}", *(f"{x.line_number:>{width}}  {x.text}" for x in lines)])
-
-
-def results_text(results: list[SearchResult], elapsed_ms: float, full: bool) -> str:
-    if not results:
-        return f"No results found.  ({elapsed_ms:.0f} ms)"
-    out = [f"Found {len(results)} result(s) in {elapsed_ms:.0f} ms:\n"]
-    for r in results:
-        out.append(f"{r.path}:{r.start_line}-{r.end_line}  {r.score:.3f}" + (f"  {r.chunk_kind}" if r.chunk_kind else "") + (f"  {r.symbol}" if r.symbol else ""))
+#: Per kind of output the message for no rows, the title and the row layout (None: no title).
+LAYOUTS = {
+    "chunks": ("No chunks found.", None, "{path}:{start_line}-{end_line}{in_brackets}"),
+    "outline": ("Nothing indexed for that path.", "{path}  ({n} entries)", "{span:<{width}}  {kind}  {name}"),
+    "matches": ("No matches found.", None, "{path}:{mark}{line_number}: {text}"),
+    "lines": ("No source lines found.", "{path}:{first}-{last}", "{line_number:>{width}}  {text}"),
+    "results": ("No results found.  ({ms:.0f} ms)", "Found {n} result(s) in {ms:.0f} ms:\n", "{path}:{start_line}-{end_line}  {score:.3f}{tags}"),
+    "paths": ("No paths found.", None, "{value}"),
+}
+_TEXTS = ("text", "snippet")
+
+
+def _cells(row: object) -> dict:
+    """Everything that a layout can show of a row."""
+    if isinstance(row, str):
+        return {"value": row}
+    cells = asdict(row)
+    kind, symbol = cells.get("chunk_kind"), cells.get("symbol")
+    return cells | {
+        "kind": kind or "chunk", "name": symbol or "-", "in_brackets": f"  [{kind}]" if kind else "", "tags": "".join(f"  {x}" for x in (kind, symbol) if x),
+        "mark": "" if cells.get("exact_line", True) else "~", "span": f"{cells.get('start_line')}-{cells.get('end_line')}",
+    }
+
+
+def prose(layout: str, rows: list, full: bool = False, **about) -> str:
+    """Rows in their layout; with ``full`` each with its text, indented, below it."""
+    nothing, title, line = LAYOUTS[layout]
+    cells = [_cells(r) for r in rows]
+    about |= {"n": len(rows)}
+    if not rows:
+        return nothing.format(**about)
+    if "line_number" in cells[0]:
+        about |= {"first": cells[0]["line_number"], "last": cells[-1]["line_number"], "width": len(str(cells[-1]["line_number"]))}
+    elif "span" in cells[0]:
+        about["width"] = max(len(c["span"]) for c in cells)
+    out = [title.format(**about)] if title else []
+    for c in cells:
+        out.append(line.format(**(about | c)))
         if full:
-            out += [f"    {line}" for line in r.snippet.splitlines()] + [""]
+            body = next(c[x] for x in _TEXTS if x in c)
+            out += [*("    " + x for x in body.splitlines()), ""]
     return "\n".join(out)
 
 
-def payload(result: SearchResult, full: bool) -> dict:
-    row = asdict(result) | {"score": round(result.score, 3)}
-    if not full:
-        del row["snippet"]
-    return row
+def table(rows: list, *without: str) -> list[dict]:
+    """Rows as compact tables show them: scores to three digits, no columns of ``without``."""
+    return [{k: round(v, 3) if k == "score" else v for k, v in asdict(r).items() if k not in without} for r in rows]
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -106,6 +108,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--prose", action="store_true")
         p.add_argument("--toon", "--json-output", "--json_output", action="store_true", help="accepted, without effect")
     for p in (index, search, info, meaning, paths, text, chunks):
+        p.add_argument("--repo", help="name of the repository; default: the folder's name, or all of the index")
         p.add_argument("--db-path", "--db_path", default="lodestrata-index")
     return parser
 
@@ -117,39 +120,42 @@ def run(args: argparse.Namespace, spark, embedder=None) -> str:
     from lodestrata.plans.reader import SourceReader
 
     if args.command == "index":
-        report = build_index(spark, args.repo_path, args.db_path, embedder, full=args.full, on_file=lambda p, c: print(f"{c:<9} {p}") if c != "unchanged" else None)
+        report = build_index(spark, args.repo_path, args.db_path, embedder, repo=args.repo, full=args.full, on_file=lambda p, c: print(f"{c:<9} {p}") if c != "unchanged" else None)
         if args.watch:
             from lodestrata.streaming.watch import watch
 
-            watch(spark, args.repo_path, args.db_path, embedder, on_change=print).awaitTermination()
+            watch(spark, args.repo_path, args.db_path, embedder, on_change=print, repo=args.repo).awaitTermination()
         return f"added {report.added}, changed {report.changed}, unchanged {report.unchanged}, deleted {report.deleted}"
     if args.command == "explore" and args.tool == "tools":
-        return "\n".join(TOOLS["tools"].values()) if args.prose else toon.dumps(TOOLS)
-    with SourceReader(spark, args.db_path) as reader:
-        began = time.time()
+        return "\n".join(f"{name} {arguments}: {purpose}" for name, (arguments, purpose) in USAGE.items()) if args.prose else toon.dumps(TOOLS)
+    began = time.time()
+    with SourceReader(spark, args.db_path, args.repo) as reader:
+        def shown(layout: str, rows: list, value: dict, full: bool = False, **about) -> str:
+            return prose(layout, rows, full, ms=(time.time() - began) * 1000, **about) if getattr(args, "prose", True) else toon.dumps(value)
+
         if args.command == "search":
-            return results_text(reader.search(args.query, args.top_k, embedder=embedder or make_embedder()), (time.time() - began) * 1000, True)
+            return shown("results", reader.search(args.query, args.top_k, embedder=embedder or make_embedder()), {}, full=True)
         if args.tool == "info":
             found = asdict(reader.index_info())
-            return "\n".join(f"{k}: {v}" for k, v in found.items()) if args.prose else toon.dumps(found)
+            return " ".join(f"{k}={v}" for k, v in found.items()) if args.prose else toon.dumps(found)
         if args.tool == "search":
             options = SearchOptions(args.top_k, tuple(args.include_path), tuple(args.exclude_path))
             found = reader.semantic_search(args.queries, embedder=embedder or make_embedder(), options=options)
-            return results_text(found, (time.time() - began) * 1000, args.full) if args.prose else toon.dumps({"results": [payload(r, args.full) for r in found]})
+            return shown("results", found, {"results": table(found, *([] if args.full else ["snippet"]))}, full=args.full)
         if args.tool == "paths":
             found = reader.find_paths(args.pattern, limit=args.limit)
-            return ("\n".join(found) or "No paths found.") if args.prose else toon.dumps({"paths": found})
+            return shown("paths", found, {"paths": found})
         if args.tool == "text":
             found = reader.find_text_lines(args.text, path=args.path, limit=args.limit)
-            return matches_text(found) if args.prose else toon.dumps({"matches": [asdict(m) for m in found]})
+            return shown("matches", found, {"matches": table(found)})
         if args.start_line is not None or args.end_line is not None:  # a range wins over --full
             found = reader.get_source_lines(args.path, start_line=args.start_line or 1, end_line=args.end_line or 2**31 - 1)
-            return lines_text(found, args.path)
+            return prose("lines", found, path=args.path)
         if args.full:
             found = reader.get_chunks(args.path)
-            return chunks_text(found) if args.prose else toon.dumps({"chunks": [asdict(c) for c in found]})
+            return shown("chunks", found, {"chunks": table(found)}, full=True)
         found = reader.get_outline(args.path)
-        return outline_text(found, args.path) if args.prose else toon.dumps({"path": args.path, "outline": [asdict(e) for e in found]})
+        return shown("outline", found, {"path": args.path, "outline": table(found)}, path=args.path)
 
 
 def main(argv: list[str] | None = None) -> int:

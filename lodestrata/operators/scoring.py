@@ -13,37 +13,17 @@ from lodestrata.functions.text import is_docs_path, is_test_path
 from lodestrata.schema import OVERFETCH, OVERLAP_LIMIT
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; NaN where a vector is zero."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, F.lit(float("nan"))).otherwise(dot(a, b) / norm)
-
-
 def penalised(score: Column, path: Column, test_factor: Column, docs_factor: Column) -> Column:
     """Lower the score of test and documentation paths; test wins over docs."""
     factor = F.when(is_test_path(path), test_factor).when(is_docs_path(path), docs_factor).otherwise(F.lit(1.0))
     return score - (F.lit(1.0) - factor) * F.abs(score)
 
 
-def score_all(vectors: DataFrame, queries: DataFrame, digits: int | None = None) -> DataFrame:
-    """(query columns, chunk_id, raw) for each query and vector in one pass over the vectors.
+def score_blocks(vectors: DataFrame, queries: list[list[float]]) -> DataFrame:
+    """(query_id, chunk_id, raw): the cosine of every vector and query, in double precision; NaN where a vector is zero.
 
-    ``queries`` is the literal table of a search call, a row per query string, so the
-    product is one row per vector and query and the vectors are not shuffled.
+    One pass over the vectors and one matrix product per Arrow batch; only ids and scores leave it.
     """
-    raw = cosine(F.col("vector"), F.col("query_vector"))
-    paired = vectors.crossJoin(F.broadcast(queries))
-    out = paired.withColumn("raw", raw if digits is None else F.round(raw, digits))
-    return out.drop("vector", "query_vector")
-
-
-def score_blocks(vectors: DataFrame, queries: list[list[float]]) -> DataFrame:
-    """Like ``score_all`` for long vectors: one matrix product per Arrow batch."""
     matrix = np.asarray(queries, np.float64).reshape(len(queries), -1)
     norms = np.linalg.norm(matrix, axis=1)
 
@@ -64,7 +44,8 @@ def score_blocks(vectors: DataFrame, queries: list[list[float]]) -> DataFrame:
 
 def top_per_query(scored: DataFrame, top_k: int) -> DataFrame:
     """The best OVERFETCH * top_k of each query; planned as a partial and a final group limit."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id"))
+    ties = [c for c in ("chunk_id", "repo") if c in scored.columns]
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), *ties)
     return scored.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= top_k * OVERFETCH).drop("__rank")
 
 
@@ -72,11 +53,11 @@ def best_per_chunk(hits: DataFrame, *carried: str) -> DataFrame:
     return hits.groupBy("chunk_id", *carried).agg(F.max("score").alias("score"))
 
 
-def drop_overlaps(hits: DataFrame) -> DataFrame:
-    """Greedy in score order: a hit goes if a kept hit of its path covers half of its lines.
+def drop_overlaps(hits: DataFrame, within: tuple[str, ...] = ("path",)) -> DataFrame:
+    """Greedy in score order: a hit goes if a kept hit of its file covers half of its lines.
 
-    Hits of different paths never meet, so the fold runs inside one row per path.
-    Input is a bounded hit list (chunk_id, path, start_line, end_line, score).
+    Hits of different files (columns ``within``) never meet, so the fold runs inside one
+    row per file.  A row's list is as long as its file has hits, which a search bounds.
     """
     member = F.struct((-F.col("score")).alias("low"), "chunk_id", "start_line", "end_line")
     kept = F.aggregate(
@@ -84,8 +65,8 @@ def drop_overlaps(hits: DataFrame) -> DataFrame:
         F.expr("cast(array() as array<struct<low:double,chunk_id:string,start_line:int,end_line:int>>)"),
         lambda kept, c: F.when(F.exists(kept, lambda k: _covers(k, c)), kept).otherwise(F.concat(kept, F.array(c))),
     )
-    return hits.groupBy("path").agg(kept.alias("kept")).select("path", F.inline("kept")).select(
-        "chunk_id", "path", "start_line", "end_line", (-F.col("low")).alias("score")
+    return hits.groupBy(*within).agg(kept.alias("kept")).select(*within, F.inline("kept")).select(
+        *[c for c in within if c != "path"], "chunk_id", "path", "start_line", "end_line", (-F.col("low")).alias("score")
     )
 
 
@@ -95,4 +76,5 @@ def _covers(kept: Column, candidate: Column) -> Column:
 
 
 def ranked(hits: DataFrame, top_k: int) -> DataFrame:
-    return hits.orderBy(F.col("score").desc(), "chunk_id").limit(top_k)
+    ties = [c for c in ("chunk_id", "repo") if c in hits.columns]
+    return hits.orderBy(F.col("score").desc(), *ties).limit(top_k)

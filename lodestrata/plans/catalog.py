@@ -14,7 +14,7 @@ from lodestrata.operators import changes, lines, scoring
 from lodestrata.plans import reader
 from lodestrata.schema import SearchOptions
 
-WORD, LIMIT, TOP_K, DIGITS = "the", 50, 10, 6
+LIMIT, TOP_K, DIGITS = 50, 10, 6
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,8 +77,7 @@ def outline(spark, sf_dir):
 
 
 def source_lines(spark, sf_dir):
-    chunks = chunk_view(spark, sf_dir, slack=True).where("path like 'src/%'")
-    return lines.source_lines(chunks, 20, 160)
+    return lines.source_lines(chunk_view(spark, sf_dir, slack=True), 20, 160)
 
 
 def _vectors(spark, sf_dir):
@@ -219,7 +218,7 @@ def oracle_sql() -> dict:
  n AS (SELECT *, CASE WHEN symbol IS NOT NULL AND lag(symbol) OVER w = symbol THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY path ORDER BY line, id)),
  g AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY line, id ROWS UNBOUNDED PRECEDING) AS island FROM n)
  SELECT path, any_value(symbol) AS symbol, 'turn' AS chunk_kind, min(line) AS start_line, max(line) AS end_line FROM g GROUP BY path, island""",
-        "source_lines": f"""{SLACK}, l AS (SELECT path, start_line, chunk_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS off FROM chunk WHERE path LIKE 'src/%' AND len(string_split(text, chr(10))) = end_line - start_line + 1)
+        "source_lines": f"""{SLACK}, l AS (SELECT path, start_line, chunk_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS off FROM chunk WHERE len(string_split(text, chr(10))) = end_line - start_line + 1)
  SELECT path, CAST(start_line + off AS INT) AS line_number, arg_max(text, {{'a': start_line, 'b': chunk_id}}) AS text FROM l WHERE start_line + off BETWEEN 20 AND 160 GROUP BY 1, 2""",
         "vector_topk": f"SELECT 'c' || e.vec_id AS chunk_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY score DESC, chunk_id LIMIT {TOP_K}",
         "vector_search_meta": f"{view}, hit AS (SELECT 'c' || e.vec_id AS chunk_id, round({_COS}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q ORDER BY score DESC, chunk_id LIMIT {TOP_K}) SELECT chunk_id, path, start_line, end_line, score FROM hit JOIN chunk USING (chunk_id)",
