@@ -1,8 +1,10 @@
-"""Key runs in a sorted Arrow stream, and slices of texts of bounded size."""
+"""Key runs in a sorted Arrow stream, slices of texts of bounded size, and workers that give memory back."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,3 +66,26 @@ def slices(column: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1)
         yield begin, column.slice(begin, end - begin)
         begin = end
+
+
+def _trim() -> None:
+    """Hand freed memory back to the system; a worker outlives its task and would keep it from the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, with the pool emptied after each batch and freed memory returned at the end."""
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for batch in run(batches):
+                yield batch
+                del batch
+                pa.default_memory_pool().release_unused()
+        finally:
+            _trim()
+    return wrapped

@@ -38,6 +38,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestrata.llm.arrow_groups import lean
+
 #: Elements that end a line.
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -262,4 +264,4 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row; nothing is shuffled."""
     base = pages.select("page_id", "url", "html")
     kinds = {f.name: f.dataType.simpleString() for f in base.schema}
-    return base.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return base.mapInArrow(lean(_extract), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")

@@ -51,7 +51,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.arrow_groups import lists, matrix, runs, slices
+from lodestrata.llm.arrow_groups import lean, lists, matrix, runs, slices
 from lodestrata.llm.columns import text_key
 from lodestrata.llm.components import components
 from lodestrata.llm.shingles import minhash, shingle_set, texts_of
@@ -288,7 +288,7 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     share = numerator / denominator
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    sampled = materialise(rows.mapInArrow(_sampler(k), f"doc_id {kind}, key struct<a:bigint,b:bigint>, node binary, sample array<int>"), "sampled")
+    sampled = materialise(rows.mapInArrow(lean(_sampler(k)), f"doc_id {kind}, key struct<a:bigint,b:bigint>, node binary, sample array<int>"), "sampled")
     sets = materialise(
         sampled.where("node is not null").groupBy("node")
         .agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("members"), F.min(F.struct("doc_id", "key")).alias("first"), F.first("sample").alias("sample")),
@@ -306,15 +306,15 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
         .join(carried, "node").select("node", *_CELL, "block", "members", "leaves", "sample")
     )
     dealt = cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
-    need = materialise(dealt.mapInArrow(_needed(sketch_least(share)), cells.drop("sample").schema), "to-examine")
+    need = materialise(dealt.mapInArrow(lean(_needed(sketch_least(share))), cells.drop("sample").schema), "to-examine")
     discard(carried, *tables)
 
     # One row of the documents for each set that has a pair to examine.
     chosen = materialise(need.select("node").distinct().join(sets.select("node", "first"), "node"), "chosen")
     texts = rows.withColumn("first", F.struct("doc_id", "key")).join(sized(chosen), "first").select("node", "text")
-    shingles = texts.mapInArrow(_shingler(k), "node binary, shingles array<bigint>").dropDuplicates(["node"])
+    shingles = texts.mapInArrow(lean(_shingler(k)), "node binary, shingles array<bigint>").dropDuplicates(["node"])
     examined = need.join(shingles, "node").repartition(*_CELL).sortWithinPartitions(*_CELL)
-    linked = materialise(examined.mapInArrow(_verifier(numerator, denominator), "node binary, root binary, weight bigint, links bigint"), "linked")
+    linked = materialise(examined.mapInArrow(lean(_verifier(numerator, denominator)), "node binary, root binary, weight bigint, links bigint"), "linked")
     discard(need, chosen)
 
     labels = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.arrow_groups import lean
+
 CAPACITY = 2048
 BLOCK = 256
 MAX_PIECE = 683
@@ -175,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
     kind = docs.schema[doc_id].dataType.simpleString()
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     fields = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    pieces = base.mapInArrow(_cutter(tokenizer, capacity, max_piece), fields)
+    pieces = base.mapInArrow(lean(_cutter(tokenizer, capacity, max_piece)), fields)
     order = ["doc_id", "start", "ids_crc32", "doc_tokens", "length"]
     dealt = pieces.repartition("doc_id", "start", "ids_crc32").sortWithinPartitions(*order)
-    return dealt.mapInArrow(_packer(capacity, block), f"{fields}, sequence_id bigint, offset bigint")
+    return dealt.mapInArrow(lean(_packer(capacity, block)), f"{fields}, sequence_id bigint, offset bigint")

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.arrow_groups import lean
+
 BUCKETS = 1 << 16
 REPEAT = 0
 REMEMBERED = 500_000
@@ -148,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4_000, label: str = "q
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
-    sample = found.select("label", "text").mapInArrow(_sparse, "label double, buckets array<int>, shares array<float>").collect()
+    sample = found.select("label", "text").mapInArrow(lean(_sparse), "label double, buckets array<int>, shares array<float>").collect()
     sample.sort(key=lambda r: (r[0], r[1], r[2]))
     return fit([(np.array(r[1], np.int64), np.array(r[2], np.float64)) for r in sample], [r[0] for r in sample], keep_good)
 
@@ -183,7 +185,7 @@ def _keeper(model: Model, text: str):
 
 def select(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model keeps, with all their columns."""
-    return docs if model.weights is None else docs.mapInArrow(_keeper(model, text), docs.schema)
+    return docs if model.weights is None else docs.mapInArrow(lean(_keeper(model, text)), docs.schema)
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
@@ -194,5 +196,5 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
         grade = F.lit(model.grades[0] if model.grades else None).cast("double")
         return base.select(*keep, grade.alias("expected_grade"), F.lit(1.0).alias("tail_probability"), F.lit(True).alias("kept"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema if f.name != "__text")
-    out = base.mapInArrow(_scorer(model), f"{fields}, expected_grade double, tail_probability double")
+    out = base.mapInArrow(lean(_scorer(model)), f"{fields}, expected_grade double, tail_probability double")
     return out.withColumn("kept", F.col("tail_probability") >= model.cut)

@@ -39,7 +39,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.arrow_groups import slices
+from lodestrata.llm.arrow_groups import lean, slices
 from lodestrata.llm.files import prepare, resolve, unique
 from lodestrata.storage import materialise, scratch_path
 
@@ -47,7 +47,7 @@ END_ID = 1
 ROW_GROUP_TOKENS = 1_000_000
 PAGE_BYTES = 64 * 1024
 #: Bytes of text that are encoded at once (a longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct pieces and chunks whose ids a worker remembers (and those of one slice besides).
 REMEMBERED = 400_000
 #: The normaliser and pre-tokenizer under which blank-separated chunks are independent.
@@ -265,7 +265,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, text: str = "text
     prepare(folder)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ranged = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    files = materialise(ranged.mapInArrow(_file_writer(folder, tokenizer), "file string, least bigint, documents bigint, tokens bigint"), "token-files")
+    files = materialise(ranged.mapInArrow(lean(_file_writer(folder, tokenizer)), "file string, least bigint, documents bigint, tokens bigint"), "token-files")
     # A row per file: the only rows that one task sees together.
     before = Window.orderBy(F.col("least").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return materialise(files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))), "token-manifest")
@@ -303,4 +303,4 @@ def token_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write all documents in the token format, read them back and describe their ids."""
     folder = scratch_path(docs.sparkSession, "tokens")
     rows = read_tokens(write_tokens(docs, folder, tokenizer), ["doc_id", "start", "n_tokens", "ids"])
-    return rows.mapInArrow(_checksums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.mapInArrow(lean(_checksums), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

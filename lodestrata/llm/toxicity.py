@@ -40,6 +40,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.arrow_groups import lean
+
 WINDOW_WORDS = 4
 #: A run before each window: without it zstandard stores short windows uncompressed and their lengths say nothing.
 PAD = b"\0" * 96
@@ -280,5 +282,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    out = base.mapInArrow(_scorer(model), f"doc_id {kind}, held_out boolean, score double")
+    out = base.mapInArrow(lean(_scorer(model)), f"doc_id {kind}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

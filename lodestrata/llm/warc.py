@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.arrow_groups import lean
 from lodestrata.llm.files import prepare, resolve, spread, unique
 from lodestrata.storage import materialise, scratch_path
 
@@ -226,7 +227,7 @@ def _lines(stream) -> Iterator[str]:
 def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """One monolithic archive per task; the manifest (archive, records)."""
     prepare(folder)
-    return materialise(with_decisions(pages).mapInArrow(_monolithic_writer(folder, level), "archive string, records bigint"), "archives")
+    return materialise(with_decisions(pages).mapInArrow(lean(_monolithic_writer(folder, level)), "archive string, records bigint"), "archives")
 
 
 def normalise_archives(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
@@ -234,7 +235,7 @@ def normalise_archives(manifest: DataFrame, folder: str, level: int = 6) -> Data
     prepare(folder)
     files = manifest.count()
     return materialise(
-        spread(manifest.sparkSession, manifest, files).mapInArrow(_normaliser(folder, level), "source string, archive string, index string, records bigint"),
+        spread(manifest.sparkSession, manifest, files).mapInArrow(lean(_normaliser(folder, level)), "source string, archive string, index string, records bigint"),
         "normalised",
     )
 
@@ -242,7 +243,7 @@ def normalise_archives(manifest: DataFrame, folder: str, level: int = 6) -> Data
 def read_archives(manifest: DataFrame) -> DataFrame:
     """The records of normalised archives, each read through its index entry."""
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, offset bigint, length bigint"
-    return spread(manifest.sparkSession, manifest, manifest.count()).mapInArrow(_reader, schema)
+    return spread(manifest.sparkSession, manifest, manifest.count()).mapInArrow(lean(_reader), schema)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
