@@ -23,7 +23,8 @@ more than four fifths of the text.
 
 Defined cases: a null or empty html gives an empty text; unclosed elements end with
 the page, and a paragraph ends where the next block starts; broken markup is read as
-far as the parser can; a page without any line gives an empty text; repeated rows
+far as the parser can; a page without any line gives an empty text; a line exactly at the threshold is
+content; elements may nest to any depth, pages be of any length; repeated rows
 give equal results; an empty table gives an empty result; other columns are
 ignored.
 """

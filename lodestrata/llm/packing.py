@@ -16,7 +16,8 @@ same blocks.  Rows are dealt by a hash of id, text checksum and start; only piec
 descriptions are shuffled, never ids or texts.
 
 Defined cases: a null or empty text is one piece, the end id alone; null or
-repeated ids are kept and packed like others; an empty table gives no piece;
+repeated ids are kept and packed like others; pieces of equal length are merged in
+the order of their rows, which equal rows share; an empty table gives no piece;
 other columns are ignored.
 """
 

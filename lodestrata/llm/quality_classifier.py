@@ -18,7 +18,8 @@ never texts.  Every document is scored.
 Defined cases: a null text or one without chunks has no features and gets the
 model's prior, its thresholds alone; null labels and ids are not learnt from; with fewer than
 two grades every document gets the one grade (or null without any) and is kept;
-repeated rows get equal results; an empty table gives an empty result; other
+a probability that equals the cut keeps the document; repeated rows get equal
+results, and of labels that repeat an id each counts; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -149,8 +150,12 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = 4_000, label: str = "quality", keep_good: float = 0.99) -> Model:
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows)
-    sample = found.select("label", "text").mapInArrow(lean(_sparse), "label double, buckets array<int>, shares array<float>").collect()
+    order = F.struct(F.xxhash64("doc_id").alias("a"), F.col("doc_id").alias("b"), F.xxhash64("text").alias("c"))
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(order.alias("place"), "label", "text")
+    # Texts become counts before rows are ordered, so no task or driver holds many texts.
+    place = found.schema["place"].dataType.simpleString()
+    sparse = found.mapInArrow(lean(_sparse), f"place {place}, label double, buckets array<int>, shares array<float>")
+    sample = sparse.orderBy("place", "label").limit(rows).select("label", "buckets", "shares").collect()
     sample.sort(key=lambda r: (r[0], r[1], r[2]))
     return fit([(np.array(r[1], np.int64), np.array(r[2], np.float64)) for r in sample], [r[0] for r in sample], keep_good)
 

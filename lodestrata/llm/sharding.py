@@ -1,7 +1,7 @@
 """Feistel sharding: a reproducible shuffle with computable places (native).
 
 Every row gets a global row number that depends on the rows alone: rows are
-dealt into a fixed number of buckets by a hash of id and text, numbered inside
+dealt into buckets (of about BUCKET_ROWS rows) by a hash of id and text, numbered inside
 their bucket in id order, and moved up by the sizes of the buckets before it.
 A keyed Feistel network over Z_m x Z_m with m = ceil(sqrt(N)) then permutes the
 numbers; a value of N or more is put through again (cycle walking) until it lies
@@ -19,7 +19,7 @@ neither copies of a text nor a hot source share a bucket.
 
 Defined cases: a null text counts as empty; a null id is a value like any other
 (first in its bucket); repeated rows each get a place of their own (they are
-interchangeable); an empty table gives an empty result; columns other than id
+interchangeable; so are rows whose id and text hash are equal); an empty table gives an empty result; columns other than id
 and text are ignored.
 """
 
@@ -34,6 +34,8 @@ from lodestrata.storage import materialise
 
 ROUNDS = 4
 WALK = 64
+BUCKET_ROWS = 100_000
+#: Buckets at least; the table of their sizes, a row per bucket, is the only one that one task sees whole.
 BUCKETS = 4096
 
 
@@ -58,13 +60,15 @@ def permute(x: Column, rows: int, seed: int) -> Column:
     return F.when(first < F.lit(rows), first).otherwise(walked)
 
 
-def row_numbers(df: DataFrame, key: list[str], order: list[str], name: str = "row_number") -> DataFrame:
-    """Add gapless numbers from 0, without a sort of all rows in one task.
+def row_numbers(df: DataFrame, rows: int, key: list[str], order: list[str], name: str = "row_number") -> DataFrame:
+    """Add gapless numbers from 0 to the ``rows`` rows, without a sort of all of them in one task.
 
-    ``key`` is hashed into BUCKETS buckets; the offsets table has at most that
-    many rows whatever the input.
+    ``key`` is hashed into buckets of about BUCKET_ROWS rows, BUCKETS at least, so neither
+    a bucket's window nor the broadcast table of offsets grows with the square of the input:
+    10**11 rows have a million buckets.
     """
-    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, -(-rows // BUCKET_ROWS))
+    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
     sizes = bucketed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -90,7 +94,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20_240_601, doc_id: str
         "shard-rows",
     )
     rows = small.count()
-    numbered = row_numbers(small, ["doc_id", "__text"], ["doc_id", "__text"]).drop("__text")
+    numbered = row_numbers(small, rows, ["doc_id", "__text"], ["doc_id", "__text"]).drop("__text")
     placed = numbered.withColumn("position", permute(F.col("row_number"), rows, seed))
     checked = F.when(F.col("position") < F.lit(rows), F.col("position")).otherwise(F.raise_error(F.lit("cycle walk too long")).cast("long"))
     placed = placed.withColumn("position", checked)

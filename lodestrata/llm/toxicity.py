@@ -12,16 +12,18 @@ few thresholds, and of those on which the toxic part alone saves as much against
 dictionary, go through a logistic curve, calibrated on training texts that the
 dictionaries had not seen; a score of 0.5 is the calibrated cut.
 
-The model is fitted on at most ``per_class`` labelled texts of each class (those
-with the smallest hash of the id among the documents of at most ``longest`` bytes; a
-documented bound); the ordinary dictionary is trained on at most ORDINARY_WINDOWS of
-their windows (so the driver's memory is bounded), taken evenly from all of them;
+The model is fitted on a bounded sample: of each class the ``per_class`` labelled ids
+with the smallest hash, and of these in that order the texts that fit into
+``sample_bytes`` together (one that does not fit is passed over, whatever its length
+would be elsewhere in the order); of rows that share an id the shortest text counts.
+The ordinary dictionary is trained on at most ORDINARY_WINDOWS of their windows (so the
+driver's memory is bounded), taken evenly from all of them;
 every document is scored over its whole text.  The model is a few ten kB and goes
 to the tasks with the function.
 
 Defined cases: null and empty texts get the score of a text without marked
 windows; documents without a label are scored like others; a null id is never
-held out and never learnt from; with no toxic or no ordinary training text all
+held out and never learnt from; a score of exactly 0.5 predicts 1; with no toxic or no ordinary training text all
 scores are the share of toxic training texts; repeated rows get equal scores; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -252,19 +254,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longest: int) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int, sample_bytes: int) -> list:
     """(text, label) of a bounded sample of labelled rows that are not held out."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
-    # Ids are chosen first, so texts are neither shuffled nor sorted: 2 * per_class ids are broadcast.
+    # Ids and lengths are chosen first, so texts are neither shuffled nor sorted: at most 2 * per_class ids are broadcast.
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    short = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
-    known = known.join(short.select("doc_id"), "doc_id", "left_semi")
-    chosen = known.where("label = 0").orderBy(*order).limit(per_class).unionByName(known.where("label = 1").orderBy(*order).limit(per_class))
-    return short.join(F.broadcast(chosen), "doc_id").select("text", "label").collect()
-
-
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_000, longest: int = 65_536) -> Model:
-    rows = training_rows(docs, labels, "toxic", per_class, longest)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(known, "doc_id").groupBy("doc_id", "label").agg(F.min("bytes").alias("bytes"))
+    chosen = []
+    for value in (0, 1):
+        left = sample_bytes
+        for row in sizes.where(F.col("label") == value).orderBy(*order).limit(per_class).collect():  # per_class rows of numbers
+            if row["bytes"] <= left:
+                left -= row["bytes"]
+                chosen.append((row["doc_id"], value, row["bytes"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, bytes int")
+    found = texts.join(F.broadcast(wanted), "doc_id").where(F.octet_length("text") == F.col("bytes"))
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("text", "label").collect()
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1_000, sample_bytes: int = 16 << 20) -> Model:
+    rows = training_rows(docs, labels, "toxic", per_class, sample_bytes)
     known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return fit([r[0] for r in rows], [int(r[1]) for r in rows], known)
 

@@ -8,19 +8,23 @@ Both directions stream: memory is bounded by the largest record.
 
 Payloads that occur more than once (100 bytes or more) are stored once: the
 record of the smallest page_id is the response, the others are revisits that
-name it.  Revisits carry no payload but keep its length and digest.
+name it.  Revisits carry no payload but its length and digest, and the page whose
+record they refer to; after reading, these are held against that record.
 
-Skew: grouping shuffles digests and ids only, with partial minima.  The table of
-shared digests is broadcast after its rows are counted; above BROADCAST_ROWS it
-is joined by shuffle, where adaptive execution splits a hot digest.
+Record ids are URNs of the archive's name and the record's place in it, so repeated
+page_ids have ids of their own; the page_id is a header of its own.
+
+Skew: grouping shuffles digests and ids only, with partial minima.  Tables of shared
+digests are broadcast when their measured size is within a bound, else joined by
+shuffle, where adaptive execution splits a hot digest.
 
 Lost executors: each attempt writes under a name of its own and only names that a
 finished task returned are read, so a repeated task leaves unread files at most.
 
 Defined cases: a null html is an empty payload; a null page_id is stored as
 ``null`` and never is a revisit's target unless no id exists; rows that repeat the
-smallest page_id are all responses; an empty table writes no archive and gives an
-empty result; other columns are ignored.
+smallest page_id are all responses; payloads of exactly 100 bytes are shared; an empty
+table writes no archive and gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,28 +39,31 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.arrow_groups import lean
 from lodestrata.llm.files import prepare, resolve, spread, unique
-from lodestrata.storage import materialise, scratch_path
+from lodestrata.storage import materialise, scratch_path, sized
 
 SHARED_BYTES = 100
-BROADCAST_ROWS = 200_000
+#: Date of the records unless the caller gives one (a repeated run writes equal bytes).
+DATE = "2024-01-01T00:00:00Z"
 READ = 1 << 20
 _END = b"\r\n\r\n"
 
 
-def record(kind: str, page_id, url, digest: str, length: int, refers_to, payload: bytes) -> bytes:
+def record(kind: str, record_id: str, page_id, url, digest: str, length: int, refers_to, payload: bytes, date: str = DATE) -> bytes:
     """One WARC/1.1 record, headers and block."""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{record_id}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), ' ').replace(chr(10), ' ')}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-X-Payload-Length: {length}",
+        f"WARC-X-Page-ID: {'null' if page_id is None else page_id}",
         "Content-Type: text/html; charset=utf-8",
         f"Content-Length: {len(payload)}",
     ]
     if kind == "revisit":
-        lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        lines.append(f"WARC-X-Refers-To-Page: {refers_to}")
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     return "\r\n".join(lines).encode() + _END + payload + _END
 
@@ -137,16 +144,15 @@ def with_decisions(pages: DataFrame) -> DataFrame:
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n"),
         "shared-digests",
     )
-    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return base.join(side, "digest", "left").select(
+    return base.join(sized(shared), "digest", "left").select(
         "page_id", "url", "html", "digest", "payload_bytes",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.when(again, F.col("first")).alias("refers_to"),
     )
 
 
-def _monolithic_writer(folder: str, level: int):
+def _monolithic_writer(folder: str, level: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, out, engine, count = "", None, None, 0
         for batch in batches:
@@ -156,7 +162,8 @@ def _monolithic_writer(folder: str, level: int):
                     system, path = resolve(target)
                     out, engine = system.open_output_stream(path, compression=None), zlib.compressobj(level, zlib.DEFLATED, 31)
                 payload = b"" if row["record_type"] == "revisit" else (row["html"] or "").encode()
-                out.write(engine.compress(record(row["record_type"], row["page_id"], row["url"], row["digest"], row["payload_bytes"], row["refers_to"], payload)))
+                name = f"urn:archive:{target.rsplit('/', 1)[-1].removesuffix('.warc.gz')}:{count}"
+                out.write(engine.compress(record(row["record_type"], name, row["page_id"], row["url"], row["digest"], row["payload_bytes"], row["refers_to"], payload, date)))
                 count += 1
         if out is not None:
             out.write(engine.flush())
@@ -183,9 +190,8 @@ def _normaliser(folder: str, level: int):
     return run
 
 
-def _page(urn: str) -> int | None:
-    name = urn.removeprefix("<urn:page:").removesuffix(">")
-    return None if name == "null" else int(name)
+def _page(name: str | None) -> int | None:
+    return None if name in (None, "null") else int(name)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +212,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest, size = head["WARC-Payload-Digest"].removeprefix("sha256:"), int(head["WARC-X-Payload-Length"])
                     if kind == "response":
                         digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
-                    target = head.get("WARC-Refers-To")
-                    rows.append((_page(head["WARC-Record-ID"]), head["WARC-Target-URI"], size, digest, kind, _page(target) if target else None, archive, int(offset), int(length)))
+                    rows.append((_page(head["WARC-X-Page-ID"]), head["WARC-Target-URI"], size, digest, kind, _page(head.get("WARC-X-Refers-To-Page")), archive, int(offset), int(length)))
                     if len(rows) >= 5_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows = []
@@ -224,10 +229,10 @@ def _lines(stream) -> Iterator[str]:
         yield rest.decode()
 
 
-def write_archives(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, level: int = 1, date: str = DATE) -> DataFrame:
     """One monolithic archive per task; the manifest (archive, records)."""
     prepare(folder)
-    return materialise(with_decisions(pages).mapInArrow(lean(_monolithic_writer(folder, level)), "archive string, records bigint"), "archives")
+    return materialise(with_decisions(pages).mapInArrow(lean(_monolithic_writer(folder, level, date)), "archive string, records bigint"), "archives")
 
 
 def normalise_archives(manifest: DataFrame, folder: str, level: int = 6) -> DataFrame:
@@ -246,6 +251,18 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     return spread(manifest.sparkSession, manifest, manifest.count()).mapInArrow(lean(_reader), schema)
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """``records`` (a materialised table), of which each revisit must have the digest and length of a response of the page it refers to."""
+    keys = ["refers_to", "payload_digest", "payload_bytes"]
+    stored = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    named = records.where("record_type = 'revisit'").select(*keys).distinct()
+    found = materialise(stored.distinct().join(named, keys, "left_semi").withColumn("stored", F.lit(True)), "referred-to")
+    out = records.join(sized(found), keys, "left")
+    wrong = (F.col("record_type") == "revisit") & F.col("stored").isNull()
+    said = F.concat(F.lit("a revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(" differs from the record it refers to"))
+    return out.withColumn("payload_digest", F.when(wrong, F.raise_error(said)).otherwise(F.col("payload_digest"))).select(*records.columns)
+
+
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write, normalise and read back all pages; the monolithic files go once rewritten."""
     from lodestrata.storage import delete_path
@@ -255,4 +272,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     written = write_archives(pages, raw)
     normal = normalise_archives(written, final)
     delete_path(spark, raw)
-    return read_archives(normal)
+    return checked(materialise(read_archives(normal), "warc-records"))

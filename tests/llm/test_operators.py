@@ -90,7 +90,7 @@ def test_normaliser_gives_members_that_stand_alone():
     payloads = [b"a" * 10, b"", bytes(range(256)) * 500]
     engine, raw = zlib.compressobj(6, zlib.DEFLATED, 31), b""
     for i, p in enumerate(payloads):
-        raw += engine.compress(warc.record("response", i, "u", "d", len(p), None, p))
+        raw += engine.compress(warc.record("response", f"urn:test:{i}", i, "u", "d", len(p), None, p))
     raw += engine.flush()
     out = io.BytesIO()
     index = list(warc.normalise(io.BytesIO(raw).read, out.write))
@@ -290,9 +290,11 @@ def test_training_sample_is_whole(spark):
     assert toxicity._evenly(texts, 1000) == [w for t in texts for w in toxicity.windows(t)] and toxicity._evenly([], 5) == []
     some = toxicity._evenly(texts, 25)
     assert len(some) == 25 and toxicity.windows(texts[-1])[1] in some
-    docs = documents(spark, [(i, "x" * (900 if i % 2 else 9), "a") for i in range(60)])
+    docs = documents(spark, [(i, "x" * (900 if i % 2 else 9), "a") for i in range(60)] + [(0, "another text of id 0", "a")] * 300)
     known = spark.createDataFrame([(i, 0) for i in range(120)], "doc_id long, toxic int")
-    assert len(toxicity.training_rows(docs, known, "toxic", 15, 100)) == 15
+    assert len(toxicity.training_rows(docs, known, "toxic", 15, 1 << 20)) == 15
+    bounded = toxicity.training_rows(docs, known, "toxic", 60, 2_000)
+    assert sum(len(r["text"]) for r in bounded) <= 2_000 and {len(r["text"]) for r in bounded} == {9, 900}
 
 
 def test_ratio_clusters_choose_lines_beside_and_inside_articles():
