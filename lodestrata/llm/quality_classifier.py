@@ -144,7 +144,8 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every, counts = np.unique(np.concatenate([words, shapes, np.full(repeats, REPEAT)]), return_counts=True)
             buckets.append(every.astype(np.int32))
             values.append((counts / max(n, 1)).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], ["label", "buckets", "shares"])
+        columns = [batch.column("place"), batch.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(columns, ["place", "label", "buckets", "shares"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 4_000, label: str = "quality", keep_good: float = 0.99) -> Model:
