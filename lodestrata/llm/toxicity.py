@@ -1,11 +1,14 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are made from labelled texts.  The ordinary one is
-trained by zstandard on windows of ordinary text.  The toxic one is trained on the
-passages that recur in toxic texts and hardly occur in ordinary ones (a greedy
-cover of the toxic training texts by short byte strings), and is put before the
-ordinary content, so both dictionaries predict ordinary text alike and only toxic
-passages compress better with the second.  A text is cut at words into windows;
+trained by zstandard on windows of ordinary text.  Trained in the same way on toxic
+texts, a dictionary mostly predicts ordinary text, which those consist of as well
+(README has the figures); so the toxic one is made of what the two kinds of text
+differ in: a greedy cover of the toxic training texts by short byte strings that
+hardly occur, or hardly recur, in ordinary ones, completed by zstandard's trainer on
+the places where these strings stand.  Its content is put before the ordinary
+content, so both dictionaries predict ordinary text alike and only toxic passages
+compress better with the second.  A text is cut at words into windows;
 a window's gain is its compressed length with the ordinary dictionary less that
 with the toxic one.  Number and share of the windows whose gain reaches each of a
 few thresholds, and of those on which the toxic part alone saves as much against no
@@ -52,7 +55,9 @@ ORDINARY_BYTES = 16_384
 ORDINARY_WINDOWS = 60_000
 TOXIC_BYTES = 2_048
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LENGTHS = (4, 5, 6, 8, 10)
+#: Before a string that must occur more than once in a text (a word contains no such byte).
+TWICE = b"\0"
+_LENGTHS = (4, 5, 6, 7, 8)
 THRESHOLDS = (1, 2, 3, 4, 6)
 
 
@@ -78,13 +83,14 @@ def _lengths(engine: zstandard.ZstdCompressor, parts: list[bytes]) -> np.ndarray
 
 
 def _strings(text: str) -> set[bytes]:
-    """Byte strings of a few lengths inside the text's words, blanks at word ends included."""
-    out: set[bytes] = set()
-    for word in set(_WORD.findall(text.lower().encode())):
+    """Byte strings of a few lengths inside the text's words, blanks at word ends included, and with TWICE before it each that occurs again."""
+    times: Counter = Counter()
+    for word, n in Counter(_WORD.findall(text.lower().encode())).items():
         padded = b" " + word + b" "
-        for n in _LENGTHS:
-            out.update(padded[i : i + n] for i in range(len(padded) - n + 1))
-    return out
+        for k in _LENGTHS:
+            for x in {padded[i : i + k] for i in range(len(padded) - k + 1)}:
+                times[x] += n
+    return set(times) | {TWICE + x for x, n in times.items() if n > 1}
 
 
 def _frequent(texts: list[str], share: float) -> Counter:
@@ -97,8 +103,8 @@ def _frequent(texts: list[str], share: float) -> Counter:
     return Counter({x: n for x, n in tally.items() if n >= max(2, len(texts) * share)})
 
 
-def _cover(toxic: list[str], ordinary: list[str], times: int = 6, most: int = 200) -> list[bytes]:
-    """Strings that cover each toxic text up to ``times`` times and are rare in ordinary ones."""
+def _cover(toxic: list[str], ordinary: list[str], times: int = 3, most: int = 200) -> list[bytes]:
+    """Strings that cover each toxic text up to ``times`` times and are rare, or rarely occur twice, in ordinary ones."""
     least = max(2, len(toxic) // 200)
     tally = _frequent(toxic, 1 / 200)
     plain: Counter = Counter()
@@ -123,7 +129,7 @@ def _cover(toxic: list[str], ordinary: list[str], times: int = 6, most: int = 20
             chosen.append(best)
             need[where[best]] -= 1
             del gain[best]
-    return chosen
+    return list(dict.fromkeys(x.removeprefix(TWICE) for x in chosen))
 
 
 @dataclass
