@@ -131,6 +131,7 @@ def _cutter(path: str, capacity: int, max_piece: int):
                 [batch.column("doc_id").take(pa.array(where, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens))],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
+        encode.forget()
     return cut
 
 

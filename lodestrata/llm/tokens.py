@@ -48,8 +48,8 @@ ROW_GROUP_TOKENS = 1_000_000
 PAGE_BYTES = 64 * 1024
 #: Bytes of text that are encoded at once (a longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
-#: Distinct pieces and chunks whose ids a worker remembers (and those of one slice besides).
-REMEMBERED = 400_000
+#: Distinct pieces and chunks whose ids a task remembers (and those of one slice besides).
+REMEMBERED = 150_000
 #: The normaliser and pre-tokenizer under which blank-separated chunks are independent.
 _BLANK_FREE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -107,6 +107,10 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop the remembered ids; a worker outlives its task."""
+        self.known = {}
+
     def ids(self, text: str) -> array:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
 
@@ -254,6 +258,7 @@ def _file_writer(folder: str, path: str):
                 if least is None:
                     least = doc_id
                 file.add(doc_id, ids)
+        encode.forget()
         if file is not None:
             file.close()
             yield pa.RecordBatch.from_pydict({"file": [target], "least": pa.array([least], pa.int64()), "documents": pa.array([file.documents], pa.int64()), "tokens": pa.array([file.tokens], pa.int64())})
