@@ -201,6 +201,8 @@ _FOLD = """, ordered AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY
 
 
 def oracle_sql() -> dict:
+    from lodestrata.plans import indexing_queries
+
     view = VIEW
     recursive = VIEW.replace("WITH chunk", "WITH RECURSIVE chunk", 1)
     return {
@@ -241,7 +243,7 @@ def oracle_sql() -> dict:
         "json_depth_keys": "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS events FROM events GROUP BY 1",
         "kind_counts": f"{view} SELECT 'chunk' AS kind, count(*) AS n FROM chunk UNION ALL SELECT 'file', count(DISTINCT path) FROM chunk",
         "route_files": ROUTE_SQL,
-    }
+    } | indexing_queries.oracle_sql()
 
 
 ROUTE_SQL = """WITH f AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'fixtures/' ELSE 'src/' END || 'f' || doc_id ||

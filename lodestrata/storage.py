@@ -44,14 +44,6 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text file through the file system that holds ``path``."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop_path, True)
-    out.write(text.encode())
-    out.close()
-
-
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The text of a small file, or None where there is none."""
     jvm = spark.sparkContext._jvm
