@@ -89,9 +89,9 @@ def stored_bytes(table: DataFrame) -> int:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
-def sized(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """A materialised table, marked for broadcast when its measured size is within the bound.
+def sized(table: DataFrame, most: int | None = None) -> DataFrame:
+    """A materialised table, marked for broadcast when its measured size is within the bound (BROADCAST_BYTES).
 
     Beyond the bound the join is left to the planner, which shuffles both sides.
     """
-    return F.broadcast(table) if stored_bytes(table) <= most else table
+    return F.broadcast(table) if stored_bytes(table) <= (BROADCAST_BYTES if most is None else most) else table
